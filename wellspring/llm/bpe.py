@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, texts
 
-CACHED_CHUNKS = 250_000  # a bound on memory only: beyond it the cache starts anew
+CACHED_CHUNKS = 400_000  # a bound on memory only: beyond it only what the batch at hand uses stays
 _SPACE = r"\p{White_Space}"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pattern
@@ -71,31 +71,42 @@ class WordBpe:
         keys = np.array([a * size + b for a, b in self.rank], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
-        self.longest = max(map(len, self.vocab))
+        self.order = {pair: r for pair, (r, _) in self.rank.items()}
+        self.result = [t for _, t in self.rank.values()]
+        self.none = len(self.result)
+        self.reach: dict[str, int] = {}  # length of the longest token that starts with two letters
+        for token in self.vocab:
+            n = len(token) - 4 if token.endswith("</w>") and len(token) > 4 else len(token)
+            bare = token[:n]
+            for start in (bare[:2],) if n > 1 else (bare + "<",) if n < len(token) else ():
+                self.reach[start] = max(self.reach.get(start, 1), n)
         self.letters = _byte_letters()
-        self.table = {b: s for b, s in enumerate(self.letters)}
+        self.table = "".join(self.letters)  # translates bytes read as Latin-1
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.ids_of: dict[str, str] = {}
         self.names_of: dict[str, str] = {}
+        self.words_of: dict[str, tuple[str, str]] = {}
         self.merged = self.proposed = 0
 
     # -- speculate ------------------------------------------------------------------------------------------------
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over the letters of a word that ends in the suffix."""
-        vocab, out, i, n = self.vocab, [], 0, len(word) - 4  # the suffix belongs to the last letter
-        whole = word
+        get, reach, out, i, n = self.vocab.get, self.reach.get, [], 0, len(word) - 4  # the suffix belongs to the last letter
         while i < n:
-            j = min(n, i + self.longest)
-            while True:
-                got = vocab.get(whole[i:] if j == n else whole[i:j])
-                if got is not None:
-                    out.append(got)
-                    break
-                j -= 1
+            j = i + reach(word[i : i + 2], 1)
+            got = None
+            if j >= n:
+                got, j = get(word[i:]), n
+                if got is None:
+                    j = n - 1
+            if got is None:
+                while j > i and (got := get(word[i:j])) is None:
+                    j -= 1
                 if j <= i:
                     raise ValueError(f"no token for {word[i]!r}")
+            out.append(got)
             i = j
         return out
 
@@ -131,16 +142,19 @@ class WordBpe:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Exact merging: lowest rank first, leftmost at a tie."""
-        s, rank = list(symbols), self.rank
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                got = rank.get((s[i], s[i + 1]))
-                if got is not None and (best is None or got[0] < best[0]):
-                    best, at = got, i
-            if best is None:
+        s, get, none = list(symbols), self.order.get, self.none
+        ranks = [get(p, none) for p in zip(s, s[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            s[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            s[i : i + 2] = [self.result[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((s[i - 1], s[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((s[i], s[i + 1]), none)
         return s
 
     def base(self, word: str) -> list[int]:
@@ -189,24 +203,27 @@ class WordBpe:
     # -- texts ----------------------------------------------------------------------------------------------------
     def _learn(self, chunks: list[str]) -> None:
         """Put normalized chunks without white space into the cache."""
-        if len(self.ids_of) + len(chunks) > CACHED_CHUNKS:
-            self.ids_of.clear()
-            self.names_of.clear()
-        letters = self.letters
-        spelled, per = {}, []
+        letters = self.table
+        spelled: dict[str, None] = {}
+        per = []
         for c in chunks:
             own = [c] if c.isalpha() and c.isascii() else _WORD.findall(c)
-            own = [(w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode("utf-8", "surrogatepass")])) + "</w>" for w in own]
+            own = [(w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)) + "</w>" for w in own]
             per.append(own)
-            for w in own:
-                spelled.setdefault(w, len(spelled))
-        words = list(spelled)
-        ids = self.encode_words(words) if words else []
-        ids_text = [" ".join(map(str, x)) for x in ids]
-        names_text = [" ".join([self.names[t] for t in x]) for x in ids]
+            spelled.update(dict.fromkeys(own))
+        known = self.words_of
+        words = [w for w in spelled if w not in known]
+        if len(known) + len(words) > CACHED_CHUNKS:
+            known.clear()
+            words = list(spelled)
+        for w, own in zip(words, self.encode_words(words) if words else ()):
+            known[w] = " ".join(map(str, own)), " ".join([self.names[t] for t in own])
         for c, own in zip(chunks, per):
-            self.ids_of[c] = " ".join([ids_text[spelled[w]] for w in own])
-            self.names_of[c] = " ".join([names_text[spelled[w]] for w in own])
+            if len(own) == 1:
+                self.ids_of[c], self.names_of[c] = known[own[0]]
+            else:
+                self.ids_of[c] = " ".join([known[w][0] for w in own])
+                self.names_of[c] = " ".join([known[w][1] for w in own])
 
     def _chunks(self, text: str) -> list[str]:
         if not text.isascii():
@@ -225,10 +242,14 @@ class WordBpe:
     def encode_texts(self, many: list[str]) -> list[tuple[str, str]]:
         """For each text: ids and tokens, each joined by one space."""
         cut = [self.parts(t) for t in many]
-        missing = dict.fromkeys(c for parts in cut for p in parts if isinstance(p, list) for c in set(p) if c not in self.ids_of)
+        wanted = {c for parts in cut for p in parts if isinstance(p, list) for c in p}
+        missing = {c for c in wanted if c not in self.ids_of}
+        if len(self.ids_of) + len(missing) > CACHED_CHUNKS:  # keep what this batch uses
+            used = wanted - missing
+            self.ids_of = {c: self.ids_of[c] for c in used}
+            self.names_of = {c: self.names_of[c] for c in used}
         if missing:
-            wanted = {c for parts in cut for p in parts if isinstance(p, list) for c in p} if len(self.ids_of) + len(missing) > CACHED_CHUNKS else missing
-            self._learn(list(wanted))
+            self._learn(sorted(missing))
         ids, names, out = self.ids_of.__getitem__, self.names_of.__getitem__, []
         for parts in cut:
             a, b = [], []
