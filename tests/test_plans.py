@@ -116,5 +116,5 @@ def test_stream_equals_batch(spark, small, tmp_path):
     q = windowed_sum(read_events(spark, str(tmp_path / "in")), late="10000 days").writeStream.outputMode("update").format("memory").queryName("sums").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = spark.sql("SELECT event_type, start, max(n) n, max(struct(n, total)).total total FROM sums GROUP BY 1, 2")
+    got = spark.table("sums").groupBy("event_type", "start").agg(F.max(F.struct("n", "total")).alias("m")).select("event_type", "start", "m.n", "m.total")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, windowed_sum(events).collect()))
