@@ -95,18 +95,19 @@ def plan(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, n
     extra = np.zeros(len(lengths), np.int64)
     if total and left:
         left = min(left, total)
-        extra = np.array([int(c) * left // total for c in counts.tolist()], np.int64)
+        if left > MOST_BUDGET:  # evenly first, then lengths in a seeded order until the dynamic programme can hold the rest
+            extra = np.array([int(c) * left // total for c in counts.tolist()], np.int64)
+            budget = left - int((extra * lengths).sum())
+            for i in np.random.default_rng(SEED).permutation(len(lengths)).tolist():
+                if budget <= MOST_BUDGET:
+                    break
+                n = int(min(counts[i] - extra[i], (budget - MOST_BUDGET) // lengths[i]))
+                extra[i] += n
+                budget -= n * int(lengths[i])
         budget = left - int((extra * lengths).sum())
         order = np.argsort(-lengths)
-        for i in order.tolist():  # long ones first until the dynamic programme can hold the rest
-            if budget <= MOST_BUDGET:
-                break
-            n = int(min(counts[i] - extra[i], (budget - MOST_BUDGET) // lengths[i]))
-            extra[i] += n
-            budget -= n * int(lengths[i])
-        free = (counts - extra).tolist()
-        got = subset_sum(lengths[order].tolist(), [free[i] for i in order.tolist()], max(budget, 0))
-        extra[order] += np.array(got, np.int64)
+        free = (counts - extra)[order].tolist()
+        extra[order] += np.array(subset_sum(lengths[order].tolist(), free, budget), np.int64)
     return whole, extra
 
 
