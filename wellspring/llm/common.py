@@ -53,6 +53,7 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows: whole texts can be very long, so a batch must not hold many of them."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def doc_key(doc_id: Column, text: Column) -> list[Column]:

@@ -22,7 +22,8 @@ def _hub(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """edges: (a, b) of one ordered type, in any direction.  Returns (node, root): root is the least node reachable."""
+    """edges: (a, b) of one ordered type, in any direction.  Returns (node, root): root is the least
+    node reachable; a node that is its own root has no row."""
     edges = materialize(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(MOST_ROUNDS):

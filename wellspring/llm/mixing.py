@@ -31,6 +31,7 @@ MOST_EPOCHS = 3
 SEED = 7
 BUCKETS = 1024
 MOST_BUDGET = 20_000  # words that the dynamic programme fits; even taking leaves less unless a length is larger
+OVER = 512  # words by which a source may pass its target where that comes nearer
 _NULL = "\U0010ffff\U0010ffff"
 
 
@@ -56,18 +57,19 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_EPOCHS) -
     return out
 
 
-def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that the sum comes nearest to the budget without passing it.
+def subset_sum(lengths: list[int], counts: list[int], budget: int, over: int = 0) -> list[int]:
+    """How many of each length to take so that the sum comes nearest to the budget, passing it by over at most.
 
     Bounded knapsack: copies of a length are bundled in powers of two, and each bundle is one pass over the reachable
     sums.  A sum remembers the bundle that reached it first; the sums on the way back were reached by earlier bundles.
     """
-    reached = np.zeros(budget + 1, bool)
+    size = budget + over
+    reached = np.zeros(size + 1, bool)
     reached[0] = True
-    by = np.full(budget + 1, -1, np.int64)
+    by = np.full(size + 1, -1, np.int64)
     bundles: list[tuple[int, int]] = []
     for k, (n, c) in enumerate(zip(lengths, counts)):
-        c, power = min(c, budget // n if n else 0), 1
+        c, power = min(c, size // n if n else 0), 1
         while c > 0 and not reached[budget]:
             take = min(power, c)
             step = take * n
@@ -78,7 +80,8 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             c, power = c - take, power * 2
         if reached[budget]:
             break
-    s = int(np.flatnonzero(reached).max())
+    sums = np.flatnonzero(reached)
+    s = int(sums[np.argmin(np.abs(sums - budget))])
     out = [0] * len(lengths)
     while s:
         k, take = bundles[by[s]]
@@ -107,7 +110,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, n
         budget = left - int((extra * lengths).sum())
         order = np.argsort(-lengths)
         free = (counts - extra)[order].tolist()
-        extra[order] += np.array(subset_sum(lengths[order].tolist(), free, budget), np.int64)
+        extra[order] += np.array(subset_sum(lengths[order].tolist(), free, budget, min(budget, OVER)), np.int64)
     return whole, extra
 
 

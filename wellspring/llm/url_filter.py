@@ -56,7 +56,7 @@ def rule(host_: Column, path_: Column, rules=RULES) -> Column:
 def reduced(url: Column) -> Column:
     """Two starts, the characters after the scheme, and an end."""
     lower = F.translate(F.coalesce(_after_scheme(url), url, F.lit("")), _UPPER, _LOWER)
-    return F.concat(F.lit("^^"), F.regexp_replace(lower, r"[^a-z0-9./_?=&#%\-]", "~"), F.lit("$"))
+    return F.concat(F.lit("^^"), F.regexp_replace(lower, r"[^a-z0-9./_?=&#%-]", "~"), F.lit("$"))
 
 
 def language_models(grams: DataFrame) -> DataFrame:
@@ -121,3 +121,37 @@ def threshold(seen: dict[str, tuple[float, float]]) -> float | None:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def sql(rules=RULES) -> str:
+    """The same in DuckDB's SQL."""
+    ordered = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), -len(r[1]), r[1:]))
+    fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in ordered]
+    name = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for _, n, c in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, _, c in fits) + " END"
+    low = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
+    p0 = f"(x.{{k}}_g1 + 1.0::DOUBLE) / (x.{{k}}_all + {SYMBOLS})"
+    p1 = f"(x.{{k}}_g2 + (x.k{{k}}_c1 + 1) * ({p0})) / (x.{{k}}_c1 + x.k{{k}}_c1 + 1)"
+    ln = f"ln((x.{{k}} + (x.k{{k}}_c2 + 1) * ({p1})) / (x.{{k}}_c2 + x.k{{k}}_c2 + 1))"
+    count = lambda by: f"SELECT {by}, sum(a) AS a_{by}, sum(b) AS b_{by}, count_if(a > 0) AS ka_{by}, count_if(b > 0) AS kb_{by}"
+    return f"""
+WITH u AS (SELECT url, count(*) AS n, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages GROUP BY url),
+h AS (SELECT *, coalesce({low.format("regexp_extract(r, '^([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  substr(md5(coalesce(url, '')), 1, 1) IN ('0', '1', '2') AS held, '^^' || regexp_replace({low.format("coalesce(r, url, '')")}, '[^a-z0-9./_?=&#%-]', '~', 'g') || '$' AS z FROM u),
+j AS (SELECT *, {name} AS rule, {verdict} AS v FROM h),
+e AS (SELECT url, n, v, held, z, unnest(range(1, length(z) - 1)) AS i FROM j),
+c AS (SELECT url, n, v, held, substr(z, i, 3) AS g FROM e),
+g AS (SELECT g, sum(CASE WHEN v = 'allow' AND NOT held THEN n ELSE 0 END) AS a, sum(CASE WHEN v = 'block' AND NOT held THEN n ELSE 0 END) AS b,
+  substr(g, 1, 2) AS c2, substr(g, 2, 2) AS g2, substr(g, 2, 1) AS c1, substr(g, 3, 1) AS g1 FROM c GROUP BY g),
+t AS (SELECT c1, g2, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL),
+f1 AS (SELECT g1, sum(a) AS a_g1, sum(b) AS b_g1, sum(sum(a)) OVER () AS a_all, sum(sum(b)) OVER () AS b_all FROM g GROUP BY g1),
+f2 AS (SELECT g2, sum(a) AS a_g2, sum(b) AS b_g2 FROM t GROUP BY g2),
+f3 AS ({count("c1")} FROM t GROUP BY c1), f4 AS ({count("c2")} FROM g GROUP BY c2),
+x AS (SELECT * FROM g JOIN f1 USING (g1) JOIN f2 USING (g2) JOIN f3 USING (c1) JOIN f4 USING (c2)),
+m AS (SELECT g, CAST(round(({ln.format(k="a")} - {ln.format(k="b")}) * {SCALE}) AS BIGINT) AS llr FROM x),
+s AS (SELECT url, sum(llr)::DOUBLE / count(*) AS llr FROM c JOIN m USING (g) GROUP BY url),
+d AS (SELECT j.*, s.llr FROM j JOIN s ON j.url IS NOT DISTINCT FROM s.url),
+k AS (SELECT avg(llr) FILTER (v = 'allow') AS ma, stddev_pop(llr) FILTER (v = 'allow') AS sa, avg(llr) FILTER (v = 'block') AS mb, stddev_pop(llr) FILTER (v = 'block') AS sb FROM d WHERE held),
+w AS (SELECT round(CASE WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) ELSE (ma + mb) / 2 END, 3) AS cut FROM k)
+SELECT p.page_id, d.host, d.path, d.rule, coalesce(d.v, CASE WHEN w.cut IS NULL OR d.llr >= w.cut THEN 'allow' ELSE 'block' END) AS verdict, CAST(round(d.llr) AS BIGINT) AS llr
+FROM pages p JOIN d ON p.url IS NOT DISTINCT FROM d.url, w"""
