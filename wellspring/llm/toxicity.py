@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table, texts
 
-SAMPLE = 8_000  # labelled documents that training takes at most
+SAMPLE = 10_000  # labelled documents that training takes at most
 TERMS = 256
 FOLDS = 4
-THRESHOLD = 0.5
-MIN_SUPPORT = 5
+THRESHOLD = 0.3
+MIN_SUPPORT = 4
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser"),
     "contempt": ("trash", "scum", "worthless"),
@@ -46,7 +46,7 @@ def words(text: str) -> set[str]:
     return set(_WORDS.findall(text.lower()))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.03, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
