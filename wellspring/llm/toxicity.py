@@ -3,7 +3,8 @@
 The categories are predicted one after the other; each model sees the words of the document and the probabilities of the
 categories before it.  While training, those are out-of-fold predictions, so that a later model does not lean on
 probabilities that an earlier one has fitted to the very row.  The last category is ``toxic`` itself, the labelled
-column; a document is rejected if its probability reaches the threshold.
+column; a document is rejected if its probability reaches the threshold, which is calibrated on out-of-fold predictions so
+that clean rows stay below it: the fewer the labels, the more careful it gets.
 
 Training is bounded: ``SAMPLE`` labelled documents at most, chosen by a hash of their id, and ``TERMS`` words.  The table
 ``labels`` names no categories but toxic, so the earlier ones are weak: a toxic row belongs to a category if it has one
@@ -31,7 +32,8 @@ from .common import materialize, small_batches, table, texts
 SAMPLE = 10_000  # labelled documents that training takes at most
 TERMS = 256
 FOLDS = 4
-THRESHOLD = 0.3
+CLEAN = 0.999  # share of clean training rows whose out-of-fold probability must lie below the threshold
+LOWEST, HIGHEST = 0.2, 0.7  # bounds of the threshold
 MIN_SUPPORT = 4
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser"),
@@ -73,6 +75,7 @@ class Chain:
 
     terms: dict[str, int]
     weights: list[np.ndarray]
+    threshold: float = 0.5
 
     def features(self, found: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(found), len(self.terms)))
@@ -104,7 +107,8 @@ def fit_chain(terms: dict[str, int], x: np.ndarray, y: np.ndarray, fold: np.ndar
             if held.any():
                 out[held] = probability(x[held], fit_linear(x[~held], y[~held, k]))
         x = np.hstack([x, out[:, None]])
-    return Chain(terms, weights)
+    clean = out[y[:, -1] == 0]
+    return Chain(terms, weights, float(np.clip(np.quantile(clean, CLEAN), LOWEST, HIGHEST)) if len(clean) else 0.5)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +130,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     if not total.get(0) or not total.get(1):
         return Chain({}, [])
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = materialize(spark, counts.where(F.col("n0") + F.col("n1") >= MIN_SUPPORT))
     odds = F.log((F.col("n1") + 0.5) / (total[1] + 1)) - F.log((F.col("n0") + 0.5) / (total[0] + 1))
     weight = F.abs(odds) * F.sqrt(F.col("n0") + F.col("n1"))
+    # Likelihood ratio against the base rate; of so many words, hardly one passes by chance.
+    n, rate = F.col("n0") + F.col("n1"), total[1] / (total[0] + total[1])
+    ratio = 2 * sum((F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * r))).otherwise(0.0) for c, r in (("n1", rate), ("n0", 1 - rate))), F.lit(0.0))
     seeds = [s for group in SEEDS.values() for s in group]
-    best = counts.where(F.col("n0") + F.col("n1") >= MIN_SUPPORT).orderBy(F.col("w").isin(seeds).desc(), weight.desc(), "w").limit(TERMS)
+    best = counts.where(ratio >= 2 * np.log(max(2, counts.count())) + 4).orderBy(F.col("w").isin(seeds).desc(), weight.desc(), "w").limit(TERMS)
     terms = {r["w"]: i for i, r in enumerate(best.select("w").collect())}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,18 +165,19 @@ def scorer(spark: SparkSession, chain: Chain):
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(row, p): each row of docs as a struct, and its probabilities."""
-    score = scorer(spark, train(spark, docs, labels))
-    return docs.select(F.struct("*").alias("row"), score("text").alias("p"))
+    """(row, p, rejected): each row of docs as a struct, its probabilities, and the verdict."""
+    chain = train(spark, docs, labels)
+    got = docs.select(F.struct("*").alias("row"), scorer(spark, chain)("text").alias("p"))
+    return got.withColumn("rejected", F.col("p.toxic") >= chain.threshold)
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the toxic ones; labels trains the chain."""
-    return score_documents(spark, docs, labels).where(F.col("p.toxic") < threshold).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return score_documents(spark, docs, labels).where(~F.col("rejected")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the category probabilities, in thousandths, and whether it is rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = score_documents(spark, docs, table(spark, sf_dir, "labels"))
-    return got.select(F.col("row.doc_id").alias("doc_id"), *[F.round(F.col(f"p.{c}") * 1000).cast("int").alias(f"p_{c}") for c in CATEGORIES], (F.col("p.toxic") >= THRESHOLD).alias("rejected"))
+    return got.select(F.col("row.doc_id").alias("doc_id"), *[F.round(F.col(f"p.{c}") * 1000).cast("int").alias(f"p_{c}") for c in CATEGORIES], "rejected")
