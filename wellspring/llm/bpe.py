@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, texts
 
-CACHED_CHUNKS = 400_000  # a bound on memory only: beyond it only what the batch at hand uses stays
+CACHED_CHUNKS = 250_000  # a bound on memory only: beyond it only what the batch at hand uses stays
 _SPACE = r"\p{White_Space}"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pattern
