@@ -1,6 +1,8 @@
 """Line dedup: winnowing over line hashes.
 
-Lines are cut after sentence ends, so that a passage pasted into a longer line is still found; each piece is a *unit*.
+Lines are cut into *units* after sentence ends and after words whose hash is divisible by ``EVERY``.  Whether a word ends a
+unit depends on that word alone, so a passage pasted anywhere into other lines is cut alike there: but for its first few
+words, and its last few, it is found even if it holds no sentence end.
 A run is a sequence of consecutive units with at least ``min_words`` words.  A run that also occurs earlier (documents
 in order of doc_id, nulls last, then text hash; inside a document by position) is deleted; the first occurrence stays.
 
@@ -17,7 +19,6 @@ in doc_id and text are one document and get the same result; empty tables give e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,34 @@ from pyspark.sql import functions as F
 from .common import keyed, lists, materialize, small_batches, texts
 
 MIN_WORDS = 25
-_PIECE = re.compile(r"(?<=[.!?]) ")
+EVERY = 4
+_KNOWN = 200_000  # words whose cut a worker remembers
+_cuts: dict[str, bool] = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def cuts(word: str) -> bool:
+    """Whether a unit ends after this word."""
+    got = _cuts.get(word)
+    if got is None:
+        if len(_cuts) >= _KNOWN:
+            _cuts.clear()
+        got = bool(word) and (word[-1] in ".!?" or xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % EVERY == 0)
+        if len(word) <= 64:
+            _cuts[word] = got
+    return got
+
+
 def pieces(text: str) -> list[list[str]]:
-    """Units of each line."""
-    return [_PIECE.split(line) for line in text.split("\n")]
+    """Units of each line; joined by a blank they are the line again."""
+    out = []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        ends = [i + 1 for i, w in enumerate(words) if cuts(w)]
+        if not ends or ends[-1] < len(words):
+            ends.append(len(words))
+        out.append([" ".join(words[a:b]) for a, b in zip([0, *ends], ends)])
+    return out
 
 
 def units(text: str) -> list[str]:
