@@ -59,3 +59,15 @@ def test_few_or_no_documents(spark, make):
     assert pii.train(spark, make([])) == frozenset() and pii.find_in_documents(spark, make([])).count() == 0
     r = pii.find_in_documents(spark, make([(1, None)])).first()
     assert (r.n_email, r.spans, r.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_no_pattern_is_cut_by_its_rank(spark, make):
+    """1,100 frequent pairs of low confidence come before a rare one of high confidence."""
+    rng = random.Random(4)
+    key = lambda: rng.randbytes(16).hex()
+    rows = [(i, " ".join(f"of w{i} {key()} and." for _ in range(6)) + f" of w{i} here" * 6) for i in range(1100)]
+    rows += [(5000 + i, f"some words secret token: {key()} and more") for i in range(5)] + [(6000, "my secret token: ZX-4471-QQ90 was here")]
+    docs = make(rows)
+    assert pii.train(spark, docs) == {"secret token:"}
+    got = {r.doc_id: r for r in pii.find_in_documents(spark, docs).where("n_added > 0").collect()}
+    assert set(got) == {5000 + i for i in range(5)} | {6000} and got[6000].spans == "id:17:29"

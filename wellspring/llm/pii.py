@@ -5,8 +5,10 @@ pattern.  Spark scores the graph of patterns and instances in rounds: a pattern
 where it stands, over all documents, that hold good instances; an instance is as good as its best pattern, and a seed
 always counts as good.  What stands at a high-confidence pattern and looks like an identifier is added as kind ``id``.
 
-At most ``PATTERNS`` patterns, those with most seeds, become the model; it is broadcast and of that fixed size.  Their
-places are counted over all words of all documents.
+Every pattern with ``MIN_SEEDS`` seeds is scored, and every one of high confidence is applied: patterns stay a table that
+is joined, however many there are.  What the driver and the workers hold is a filter of 2 ** ``FILTER_BITS`` bits over
+the patterns' checksums; it only spares pairs of words that cannot be patterns the shuffle, and the joins are exact.
+Places are counted over all words of all documents.
 
 Spans are half-open in code points.  Base spans always stay; an added span that would overlap one is not added.  Defined
 cases: null and empty texts have no spans and the digest of nothing; rows that repeat get a row each; with too few seeds
@@ -17,17 +19,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts
+from .common import doc_key, materialize, small_batches, table, texts
 
 KINDS = ("email", "ip", "card", "phone", "id")
-PATTERNS = 1024
+FILTER_BITS = 22
 MIN_SEEDS = 5  # distinct seeds that induce a pattern
 CONFIDENCE = 0.8
 ROUNDS = 3
@@ -114,18 +118,29 @@ def mentions(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, model: frozenset[str]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans)."""
-    own = base_spans(text)
-    if not model:
-        return own, own
-    more = []
-    for s, e in mentions(text):
-        if any(a < e and s < b for a, _, b in own):
-            continue
-        if pattern_before(text, s) in model:
-            more.append((s, 4, e))
-    return own, sorted(own + more)
+def candidates(text: str, own: list[tuple[int, int, int]], bits: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, pattern) of the mentions apart from the base spans whose pattern passes the filter."""
+    out = []
+    for s, e in mentions(text) if bits else ():
+        if not any(a < e and s < b for a, _, b in own) and (p := pattern_before(text, s)) and passes(bits, p):
+            out.append((s, e, p))
+    return out
+
+
+def passes(bits: bytes, p: str) -> bool:
+    """Whether a pattern may be among those of the filter."""
+    h = zlib.crc32(p.encode("utf-8", "surrogatepass")) & ((1 << FILTER_BITS) - 1)
+    return bool(bits[h >> 3] >> (h & 7) & 1)
+
+
+def pattern_filter(patterns: DataFrame) -> bytes:
+    """The filter over the column p, of a fixed size; empty without patterns."""
+    h = F.crc32("p").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = patterns.select(h.alias("h")).groupBy(F.expr("h div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("w")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 6), "<i8")
+    for r in rows:
+        out[r["i"]] = r["w"]
+    return out.tobytes() if rows else b""
 
 
 def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,61 +161,87 @@ def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["p", "x", "seed", "n"])
 
 
-def _places(known: frozenset[str]):
-    seconds = frozenset(p.split(" ")[1] for p in known)
-
+def _places(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = model.value
         for batch in batches:
             count: Counter = Counter()
             for text in texts(batch.column("text")):
                 words = plain(text).replace('"', " ").split()
                 # The last word has no place after it.
-                count.update([p for i, w in enumerate(words[1:-1]) if w in seconds and (p := f"{words[i]} {w}") in known])
+                for (a, b), n in Counter(zip(words, words[1:-1])).items():
+                    if passes(bits, p := f"{a} {b}"):
+                        count[p] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["p", "places"])
 
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame) -> frozenset[str]:
-    """The patterns of high confidence."""
+def confident(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(p): the patterns of high confidence."""
     small_batches(spark)
     graph = docs.select("text").mapInArrow(_graph, "p string, x string, seed int, n long")
     graph = materialize(spark, graph.groupBy("p", "x").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
-    best = graph.groupBy("p").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).orderBy(F.desc("seeds"), "p").limit(PATTERNS)
-    known = frozenset(r["p"] for r in best.select("p").collect())
-    if not known:
+    known = materialize(spark, graph.groupBy("p").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("p"))
+    bits = pattern_filter(known)
+    if not bits:
         return known
-    places = materialize(spark, docs.select("text").mapInArrow(_places(known), "p string, places long").groupBy("p").agg(F.sum("places").alias("places")))
-    edges = materialize(spark, graph.join(F.broadcast(places), "p"))  # one row a pattern of the model at most
+    places = docs.select("text").mapInArrow(_places(spark.sparkContext.broadcast(bits)), "p string, places long").groupBy("p").agg(F.sum("places").alias("places"))
+    places = materialize(spark, known.join(places, "p", "left"))
+    edges = materialize(spark, graph.join(places, "p"))
     # A noted mention may end the text or be cut off from its words, so places can be fewer than mentions.
-    whole = edges.groupBy("p").agg(F.greatest(F.max("places"), F.sum("n")).alias("places"))
+    whole = materialize(spark, edges.groupBy("p").agg(F.greatest(F.max("places"), F.sum("n")).alias("places")))
     score = edges.withColumn("c", F.col("seed").cast("double"))
     for _ in range(ROUNDS):
-        patterns = score.groupBy("p").agg((F.sum(F.col("c") * F.col("n"))).alias("good")).join(F.broadcast(whole), "p").select("p", (F.col("good") / F.col("places")).alias("score"))
+        patterns = score.groupBy("p").agg((F.sum(F.col("c") * F.col("n"))).alias("good")).join(whole, "p").select("p", (F.col("good") / F.col("places")).alias("score"))
         patterns = materialize(spark, patterns)
-        instance = edges.join(F.broadcast(patterns), "p").groupBy("x").agg(F.greatest(F.max("score"), F.max("seed").cast("double")).alias("c"))
+        instance = edges.join(patterns, "p").groupBy("x").agg(F.greatest(F.max("score"), F.max("seed").cast("double")).alias("c"))
         score = materialize(spark, edges.join(instance, "x"))
-    return frozenset(r["p"] for r in patterns.where(F.col("score") >= CONFIDENCE).orderBy("p").limit(PATTERNS).collect())
+    return patterns.where(F.col("score") >= CONFIDENCE).select("p")
 
 
-def find_in_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, counts, base_sha256, spans, n_added) of every row of docs."""
-    model = spark.sparkContext.broadcast(train(spark, docs))
+def train(spark: SparkSession, docs: DataFrame) -> frozenset[str]:
+    """The patterns of high confidence on the driver, for a look at small tables; find_in_documents joins the table."""
+    return frozenset(r["p"] for r in confident(spark, docs).collect())
+
+
+def _find(model):
+    """Counts, digest and base spans of each row, and its candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        bits = model.value
         for batch in batches:
-            counts, sha, joined, added = [], [], [], []
+            counts, sha, base, more = [], [], [], []
             for text in texts(batch.column("text")):
-                own, every = spans(text, known)
+                own = base_spans(text)
                 n = Counter(k for _, k, _ in own)
                 counts.append([n[k] for k in range(4)])
                 sha.append(hashlib.sha256(",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in own]).encode()).hexdigest())
-                joined.append(",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in every]))
-                added.append(len(every) - len(own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(sha, pa.string()), pa.array(joined, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                base.append([{"s": s, "k": k, "e": e} for s, k, e in own])
+                more.append([{"s": s, "e": e, "p": p} for s, e, p in candidates(text, own, bits)])
+            kinds = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "d", "k")] + kinds + [pa.array(sha, pa.string()), pa.array(base, _BASE), pa.array(more, _MORE)], ["doc_id", "d", "k", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "more"])
+
+    return run
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+
+_BASE = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
+_MORE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("p", pa.string())]))
+
+
+def find_in_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, counts, base_sha256, spans, n_added) of every row of docs."""
+    model = confident(spark, docs)
+    bits = spark.sparkContext.broadcast(pattern_filter(model))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(F.col("doc_id"), F.col("text")), "text")
+    rows = materialize(spark, rows.mapInArrow(_find(bits), "doc_id long, d long, k long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<s: int, k: int, e: int>>, more array<struct<s: int, e: int, p: string>>"))
+    # Rows that repeat have the same key and the same spans, so the set is that of one of them.
+    more = rows.where(F.size("more") > 0).select("d", "k", F.inline("more")).join(model, "p")
+    more = more.groupBy("d", "k").agg(F.collect_set(F.struct("s", F.lit(KINDS.index("id")).alias("k"), "e")).alias("added"))
+    got = rows.drop("more").join(more, ["d", "k"], "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<s: int, k: int, e: int>>")))
+    kinds = F.array(*map(F.lit, KINDS))
+    spans = F.transform(F.array_sort(F.concat("base", "added")), lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"], x["e"]))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(spans, ",").alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
