@@ -57,3 +57,9 @@ def test_schedules_do_not_change_results(spark, small):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
 
     assert rows("1") == rows("5")
+
+
+def test_whole_forms_reach_every_value(spark, small):
+    n = spark.read.parquet(f"{small}/embeddings.parquet").count()
+    want = {"split_diff": n // 2 * 64, "reshape": n * 64, "im2col_2d": (n - 1) * 63 * 4, "planned_multi_output": n * 64, "matmul": n * 64, "matmul_chain": n * 64}
+    assert {q: catalogue.QUERIES[f"{q}_whole"].run(spark, small).count() for q in want} == want

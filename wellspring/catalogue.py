@@ -279,6 +279,14 @@ def split_diff(s, d):
     return ew.subtract(low, high)
 
 
+# The queries named _whole take their boxes from the measured array, where those before them read fixed rows or columns.
+@query(f"WITH {E}, {H} SELECT a.x, a.y, a.v - b.v AS v FROM H, E a JOIN E b ON a.x = b.x WHERE b.y = a.y + (h + 1) // 2 AND a.y < (h + 1) // 2")
+def split_diff_whole(s, d):
+    a = emb(s, d)
+    low, high = ri.split(a, "y", a.box["y"].min + a.box["y"].extent // 2)
+    return ew.subtract(low, high)
+
+
 @query(f"WITH {E} SELECT a.x, a.v - b.v AS v FROM E a JOIN E b ON a.x = b.x WHERE a.y = 0 AND b.y = 1")
 def slice_diff(s, d):
     a = emb(s, d, rows=Interval(0, 1))
@@ -290,6 +298,12 @@ def reshape(s, d):
     return ri.reshape(emb(s, d, rows=Interval(0, 49)), {"p": 50, "q": 64})
 
 
+@query(f"WITH {E}, {H} SELECT (y * 64 + x) % (h + 1) AS p, (y * 64 + x) // (h + 1) AS q, v FROM E, H")
+def reshape_whole(s, d):
+    a = emb(s, d)
+    return ri.reshape(a, {"p": a.box["y"].extent, "q": a.box["x"].extent})
+
+
 @query(f"WITH {E} SELECT x % 8 AS p, x // 8 AS q, y, v FROM E")
 def reshape_batch(s, d):
     return ri.reshape(emb(s, d), {"p": 8, "q": 8}, batch=("y",))
@@ -323,6 +337,11 @@ def im2col_2d(s, d):
     return ri.im2col(emb(s, d, rows=Interval(0, 39)), {"x": (1, 1, 2), "y": (1, 1, 2)})
 
 
+@query(f"WITH {E}, {H} SELECT a.x - dx AS x, a.y - dy AS y, dx, dy, v FROM H, E a, (SELECT unnest(range(2))::BIGINT AS dx) p, (SELECT unnest(range(2))::BIGINT AS dy) q WHERE a.x - dx BETWEEN 0 AND 62 AND a.y - dy BETWEEN 0 AND h - 1")
+def im2col_2d_whole(s, d):
+    return ri.im2col(emb(s, d), {"x": (1, 1, 2), "y": (1, 1, 2)})
+
+
 @query(f"WITH {N}, M AS (SELECT x, y, v FROM N) SELECT g.x, g.y, coalesce(M.v, -1) AS v FROM (SELECT a.x, b.y FROM (SELECT unnest(range(-1, 6))::BIGINT AS x) a, (SELECT unnest(range(-1, 6))::BIGINT AS y) b) g LEFT JOIN M ON g.x = M.x AND g.y = M.y")
 def pad_constant_array(s, d):
     a = fr.nation_grid(s, d)
@@ -367,6 +386,29 @@ def matmul_chain(s, d):
     return rd.matmul(ab, _right(s, d))
 
 
+def _whole_left(s, d) -> ArrayFrame:
+    return ri.transpose(emb(s, d), {"x": "k", "y": "i"})
+
+
+def _whole_right(s, d) -> ArrayFrame:
+    """Square, so that it has a row for each of the 64 columns of the left side."""
+    return ri.transpose(emb(s, d, rows=Interval(0, 63)), {"x": "j", "y": "k"})
+
+
+_MM = "SELECT a.y AS i, b.x AS j, sum(a.v * b.v)::BIGINT AS v FROM E a JOIN E b ON a.x = b.y GROUP BY 1, 2"
+
+
+@query(f"WITH {E} {_MM}")
+def matmul_whole(s, d):
+    return rd.matmul(_whole_left(s, d), _whole_right(s, d))
+
+
+@query(f"WITH {E}, M AS ({_MM}) SELECT i, c.x AS j, sum(M.v * c.v)::BIGINT AS v FROM M JOIN E c ON c.y = M.j GROUP BY 1, 2")
+def matmul_chain_whole(s, d):
+    ab = ri.transpose(rd.matmul(_whole_left(s, d), _whole_right(s, d)), {"i": "i", "j": "k"})
+    return rd.matmul(ab, _whole_right(s, d))
+
+
 @query(f"WITH {E} SELECT y, sum(v)::BIGINT AS v FROM E GROUP BY y")
 def sum_dim(s, d):
     return rd.total(emb(s, d), "x")
@@ -524,6 +566,16 @@ def pyramid4(s, d):
 @query(f"WITH {E}, S AS (SELECT y, sum(v + 5)::BIGINT AS t FROM E WHERE x BETWEEN 8 AND 15 GROUP BY y) SELECT x, y, (v + 5) * 10 - t AS v FROM E JOIN S USING (y) WHERE x BETWEEN 8 AND 15 AND y BETWEEN 3 AND 90")
 def planned_multi_output(s, d):
     """Scalar argument, derived scalar, two outputs of one stage, one of them broadcast, and a cached root."""
+    return _planned(s, d, box(x=(8, 15), y=(3, 90)))
+
+
+@query(f"WITH {E}, S AS (SELECT y, sum(v + 5)::BIGINT AS t FROM E GROUP BY y) SELECT x, y, (v + 5) * 10 - t AS v FROM E JOIN S USING (y)")
+def planned_multi_output_whole(s, d):
+    return _planned(s, d)
+
+
+def _planned(s, d, want: Box | None = None) -> ArrayFrame:
+    """Over the box wanted, or over all."""
     src = emb(s, d)
     a, one, row, out = Buffer("in", ("x", "y")), Buffer("one", ("x", "y")), Buffer("row", ("y",)), Buffer("out", ("x", "y"))
 
@@ -534,7 +586,7 @@ def planned_multi_output(s, d):
     Stage(both, [(a, pointwise)], [one, row], "both")
     Stage(lambda p, r, _, twice: ew.zip_with(lambda v, t: v * twice - t, p, r), [(one, pointwise), (row, lambda o: o.without("x"))], [out], "scale")
     p = Pipeline([a], [out], ("k", "twice"), {"twice": lambda v: v["k"] * 2})
-    return p.evaluate({"out": box(x=(8, 15), y=(3, 90))}, {"in": src}, {"k": 5, "twice": 0})["out"]
+    return p.evaluate({"out": want or src.box}, {"in": src}, {"k": 5, "twice": 0})["out"]
 
 
 @query("SELECT event_type, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*) AS n, sum(CAST(floor(value * 1000) AS BIGINT))::BIGINT AS total FROM events GROUP BY 1, 2")
