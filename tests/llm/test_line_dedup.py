@@ -89,3 +89,26 @@ def test_very_long_line(spark, make):
     got = check(spark, make, [long, long + "."])
     assert got[0].n_deleted == 0 and got[1].text.endswith("u49999.") and len(got[1].text) < 200  # all but the last unit repeats
     assert hashlib.sha256(got[0].text.encode()).hexdigest() == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_later_equal_whole_lines_go_however_short_the_run(spark, make):
+    line, short = "Subscribe to our newsletter for more. Thank you all.", "All rights reserved."
+    texts = [f"own {i} text\n{line}\nmore {i}\n{short}" for i in range(5)] + [f"in a longer line: {line}", f"{line}\n{line}", None]
+    out = {r.doc_id: r.text for r in ld.dedup_documents(spark, make([*enumerate(texts), (1, texts[1])])).collect()}
+    assert out[0] == texts[0] and out[5] == texts[5] and out[6] == "" and out[7] is None
+    assert all(out[i] == f"own {i} text\nmore {i}\n{short}" for i in range(1, 5))
+
+
+def test_equal_lines_as_brute_force(spark, make, real):
+    docs = real[0]
+    got = {r.row.doc_id: r.n_deleted for r in ld.line_dedup(spark, make([(d.doc_id, d.text) for d in docs]), min_line=ld.MIN_LINE).collect()}
+    seen = set()
+    for d, gone in zip(docs, brute([d.text for d in docs])):
+        n = 0
+        for line in ld.pieces(d.text or ""):
+            own = tuple(p.strip() for p in line if p and not p.isspace())
+            if sum(x.count(" ") + 1 for x in own) >= ld.MIN_LINE:
+                gone |= set(range(n, n + len(own))) if own in seen else set()
+                seen.add(own)
+            n += len(own)
+        assert got[d.doc_id] == len(gone), d.doc_id

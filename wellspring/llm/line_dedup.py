@@ -12,6 +12,8 @@ in order of doc_id, nulls last, then text hash; inside a document by position) i
 3. From each joined position the match is extended both ways over its windows: the window's units are compared through
    one hash with the first document that has them, never pair by pair, so a hot line costs its own rows only.
 4. Units of later equal windows are deleted.  The union of the windows is exactly the maximal repeated run.
+5. Whole lines of ``min_line`` words or more, but too short for a run, are told by one hash of their units: those that
+   equal a whole line before them are deleted too.  Longer lines are runs.
 
 Defined cases: null text counts as empty and stays as it is; texts without a repeated run stay byte for byte; rows equal
 in doc_id and text are one document and get the same result; empty tables give empty results.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import keyed, lists, materialize, small_batches, texts
 
 MIN_WORDS = 25
+MIN_LINE = 4  # words of a whole line that is deleted by itself
 EVERY = 4
 _KNOWN = 200_000  # words whose cut a worker remembers
 _cuts: dict[str, bool] = {}
@@ -142,14 +145,17 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
     for batch in batches:
-        hashes, words, sizes = [], [], []
+        hashes, words, sizes, lines, n_lines = [], [], [], [], []
         for text in texts(batch.column("text")):
-            own = units(text)
+            by_line = [own for line in pieces(text) if (own := [p.strip() for p in line if p and not p.isspace()])]
+            lines += [len(own) for own in by_line]
+            n_lines.append(len(by_line))
+            own = [x for line in by_line for x in line]
             sizes.append(len(own))
             hashes += [digest(x.encode("utf-8", "surrogatepass")) for x in own]
             words += [x.count(" ") + 1 for x in own]
         h = np.array(hashes, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), lists(h, sizes, pa.int64()), lists(np.array(words, np.int32), sizes, pa.int32())], ["d", "k", "h", "w"])
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), lists(h, sizes, pa.int64()), lists(np.array(words, np.int32), sizes, pa.int32()), lists(np.array(lines, np.int32), n_lines, pa.int32())], ["d", "k", "h", "w", "l"])
 
 
 def _fingerprints(min_words: int):
@@ -181,16 +187,40 @@ def _extend(min_words: int):
     return run
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, k, runs): for each document with units to delete, the windows that cover them."""
+def _short_lines(min_line: int, min_words: int):
+    """Whole lines that no window covers: the hash of their units, and the first and last of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, row, starts = _flat(batch)
+            n = np.array(batch.column("l").flatten(), np.int64)
+            last = np.cumsum(n) - 1
+            first = last - n + 1
+            total = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+            words = total[last + 1] - total[first]
+            ok = (words >= min_line) & (words < min_words)
+            first, last = first[ok], last[ok]
+            own = row[first]
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([pa.array(span_hash(h, first, last)), batch.column("d").take(take), batch.column("k").take(take), pa.array((first - starts[own]).astype(np.int32)), pa.array((last - starts[own]).astype(np.int32))], ["s", "d", "k", "i", "j"])
+
+    return run
+
+
+def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = None) -> DataFrame:
+    """(d, k, runs): for each document with units to delete, the windows and lines that cover them."""
     small_batches(spark)
-    hashed = materialize(spark, keyed(docs).select("d", "k", "text").mapInArrow(_hash_units, "d long, k long, h array<long>, w array<int>"))
-    prints = hashed.mapInArrow(_fingerprints(min_words), "h long, d long, k long, at int")
+    hashed = materialize(spark, keyed(docs).select("d", "k", "text").mapInArrow(_hash_units, "d long, k long, h array<long>, w array<int>, l array<int>"))
+    prints = hashed.drop("l").mapInArrow(_fingerprints(min_words), "h long, d long, k long, at int")
     twice = materialize(spark, prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     joined = prints.join(twice, "h").groupBy("d", "k").agg(F.collect_set("at").alias("ats"))
     spans = materialize(spark, hashed.join(joined, ["d", "k"]).select("d", "k", "h", "w", "ats").mapInArrow(_extend(min_words), "h long, s long, d long, k long, i int, j int"))
     first = materialize(spark, spans.groupBy("h", "s").agg(F.min(F.struct("d", "k", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = spans.join(first, ["h", "s"]).where(F.struct("d", "k", "i") != F.col("f"))
+    later = spans.join(first, ["h", "s"]).where(F.struct("d", "k", "i") != F.col("f")).select("d", "k", "i", "j")
+    if min_line is not None:
+        lines = hashed.mapInArrow(_short_lines(min_line, min_words), "s long, d long, k long, i int, j int")
+        head = materialize(spark, lines.groupBy("s").agg(F.min(F.struct("d", "k", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        later = later.union(lines.join(head, "s").where(F.struct("d", "k", "i") != F.col("f")).select("d", "k", "i", "j"))
     return later.groupBy("d", "k").agg(F.collect_set(F.struct("i", "j")).alias("runs"))
 
 
@@ -204,17 +234,18 @@ def _rewrite(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_units", "n_deleted"])
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, text, n_units, n_deleted): every row of docs as a struct, and its text without later repeated runs."""
-    runs = repeated_runs(spark, docs, min_words)
+def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = None) -> DataFrame:
+    """(row, text, n_units, n_deleted): every row of docs as a struct, and its text without later repeated runs and, with
+    min_line, without later equal lines of so many words."""
+    runs = repeated_runs(spark, docs, min_words, min_line)
     got = keyed(docs).join(runs, ["d", "k"], "left")
     rewrite = F.pandas_udf(_rewrite, "text string, n_units int, n_deleted int")
     return got.select("row", rewrite("text", "runs").alias("x")).select("row", "x.*")
 
 
-def dedup_documents(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with its own columns; text is rewritten where a run went, and n_chars follows it."""
-    out = line_dedup(spark, docs, min_words)
+def dedup_documents(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = MIN_LINE) -> DataFrame:
+    """docs with its own columns; text is rewritten where a run or line went, and n_chars follows it."""
+    out = line_dedup(spark, docs, min_words, min_line)
     new = {"text": F.when(F.col("n_deleted") > 0, F.col("text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -226,4 +257,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(spark, docs).select(F.col("row.doc_id").alias("doc_id"), "n_units", "n_deleted", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup(spark, docs, min_line=MIN_LINE).select(F.col("row.doc_id").alias("doc_id"), "n_units", "n_deleted", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
