@@ -77,3 +77,24 @@ def test_plans_hit_the_target(target):
     counts = rng.integers(1, 6, len(lengths))
     whole, extra = mx.plan(lengths, counts, float(target))
     assert (extra <= counts).all() and abs(whole * (lengths * counts).sum() + (extra * lengths).sum() - target) <= lengths.min()
+
+
+@pytest.mark.parametrize("lengths,counts,target,want", [([100_000], [1], 90_000, 100_000), ([3000, 4000], [1, 1], 6000, 7000), ([1, 5000], [1, 1], 3500, 5000), ([40_000, 70_000], [2, 1], 70_000, 70_000)])
+def test_few_long_documents_give_the_nearest_sum(lengths, counts, target, want):
+    import numpy as np
+
+    _, extra = mx.plan(np.array(lengths), np.array(counts), float(target))
+    assert (extra * np.array(lengths)).sum() == want
+
+
+def test_plans_are_nearest():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(1, 60_000), rng.randint(1, 4)))
+        counts = [rng.randint(1, 2) for _ in lengths]
+        sums = {sum(n * k for n, k in zip(lengths, t)) for t in itertools.product(*[range(c + 1) for c in counts])}
+        target = rng.randint(0, max(sums) - 1)
+        whole, extra = mx.plan(np.array(lengths), np.array(counts), float(target))
+        assert whole == 0 and abs(int((extra * np.array(lengths)).sum()) - target) == min(abs(s - target) for s in sums)

@@ -30,8 +30,7 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 SEED = 7
 BUCKETS = 1024
-MOST_BUDGET = 20_000  # words that the dynamic programme fits; even taking leaves less unless a length is larger
-OVER = 512  # words by which a source may pass its target where that comes nearer
+MOST_BUDGET = 20_000  # words that the dynamic programme fits at first; more where that does not give the nearest sum
 _NULL = "\U0010ffff\U0010ffff"
 
 
@@ -66,7 +65,7 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int, over: int = 0
     size = budget + over
     reached = np.zeros(size + 1, bool)
     reached[0] = True
-    by = np.full(size + 1, -1, np.int64)
+    by = np.full(size + 1, -1, np.int32)
     bundles: list[tuple[int, int]] = []
     for k, (n, c) in enumerate(zip(lengths, counts)):
         c, power = min(c, size // n if n else 0), 1
@@ -90,6 +89,28 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int, over: int = 0
     return out
 
 
+def _fit(lengths: np.ndarray, counts: np.ndarray, total: int, left: int, most: int) -> np.ndarray:
+    """Documents of each length for a budget of left words, of which the dynamic programme fits about most."""
+    extra = np.zeros(len(lengths), np.int64)
+    budget = left
+    if left > most:  # evenly first, then lengths in a seeded order until the dynamic programme can hold the rest
+        extra = np.array([int(c) * left // total for c in counts.tolist()], np.int64)
+        budget = left - int((extra * lengths).sum())
+        for i in np.random.default_rng(SEED).permutation(len(lengths)).tolist():
+            if budget <= most:
+                break
+            n = int(min(counts[i] - extra[i], (budget - most) // lengths[i]))
+            extra[i] += n
+            budget -= n * int(lengths[i])
+    order = np.argsort(-lengths)
+    free = (counts - extra)[order]
+    # The least sum past the budget is past it by less than its shortest document, which may be the longest of all; one
+    # of over twice the budget is no nearer than taking nothing.
+    over = min(budget, int(lengths[order][free > 0].max(initial=0)))
+    extra[order] += np.array(subset_sum(lengths[order].tolist(), free.tolist(), budget, over), np.int64)
+    return extra
+
+
 def plan(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """(whole repeats of all documents, documents of each length that are taken once more)."""
     total = int((lengths * counts).sum())
@@ -97,20 +118,15 @@ def plan(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, n
     left = max(0, int(round(target)) - whole * total)
     extra = np.zeros(len(lengths), np.int64)
     if total and left:
-        left = min(left, total)
-        if left > MOST_BUDGET:  # evenly first, then lengths in a seeded order until the dynamic programme can hold the rest
-            extra = np.array([int(c) * left // total for c in counts.tolist()], np.int64)
-            budget = left - int((extra * lengths).sum())
-            for i in np.random.default_rng(SEED).permutation(len(lengths)).tolist():
-                if budget <= MOST_BUDGET:
-                    break
-                n = int(min(counts[i] - extra[i], (budget - MOST_BUDGET) // lengths[i]))
-                extra[i] += n
-                budget -= n * int(lengths[i])
-        budget = left - int((extra * lengths).sum())
-        order = np.argsort(-lengths)
-        free = (counts - extra)[order].tolist()
-        extra[order] += np.array(subset_sum(lengths[order].tolist(), free, budget, min(budget, OVER)), np.int64)
+        left, most = min(left, total), MOST_BUDGET
+        step = int(np.gcd.reduce(lengths))  # all sums are multiples of this
+        off = left % step
+        least = min(off, step - off) if left - off + step <= total else off
+        while True:  # where taking evenly stands in the way of the nearest sum, less is taken so, at last nothing
+            extra = _fit(lengths, counts, total, left, most)
+            if abs(int((extra * lengths).sum()) - left) <= least or most >= left:
+                break
+            most *= 8
     return whole, extra
 
 
