@@ -46,3 +46,16 @@ def test_query(spark, small):
     assert ht.extract_pages(spark, df.limit(0)).count() == 0
     real = ht.query(spark, small).collect()
     assert real and all("©" not in r.text and "track(" not in r.text and r.n_chars == len(r.text) for r in real)
+
+
+TEXT = "<p>This is the text of a page, long enough to be told from furniture by anyone.</p>"
+
+
+@pytest.mark.parametrize("page", ['<div class="content no-sidebar">{}</div>', '<div class="page nav-closed">{}</div>', '<div class="modal"><article>{}</article></div>', '<div id="header"><main>{}</main></div>', '<div class="main sidebar">{}</div>'])
+def test_words_of_a_wrapper_do_not_empty_the_page(page):
+    assert ht.extract(page.format(TEXT)) == TEXT[3:-4]
+
+
+@pytest.mark.parametrize("page", ['<div class="sidebar">{}</div>', '<article><div class="ad">{}</div></article>', '<aside class="content">{}</aside>', '<div id="comments"><article class="comment-body">{}</article></div>', '<div class="modal"><article></article>{}</div>'])
+def test_furniture_still_goes(page):
+    assert ht.extract(page.format(TEXT)) == ""

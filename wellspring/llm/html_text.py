@@ -46,6 +46,10 @@ BAD_WORDS = frozenset(
     " search share sharing social pagination pager toolbar contentinfo complementary skip copyright legal hidden".split()
 )
 GOOD_WORDS = frozenset("article articlebody main content entry post story text body maincontent".split())
+#: Class words with one of these tell the state of a layout (no-sidebar, nav-closed) and name nothing.
+STATES = frozenset("no not has with without is open opened closed active inactive enabled disabled visible collapsed expanded hide show on off layout fixed sticky".split())
+#: Furniture that holds articles of its own.
+LISTS = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations widget".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-label|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:\s[^>]*)?>", re.I) for t in RAW}
@@ -67,8 +71,9 @@ class Block:
 
 
 def _marks(name: str, attrs: str) -> tuple[int, int, bool]:
-    """(names furniture, names the article, hidden) of one tag."""
-    bad, good, hidden = int(name in FURNITURE), int(name in MAIN), False
+    """(names furniture, names the article, hidden) of one tag; furniture is 2 if it stays so around an article."""
+    bad, good, hidden = 2 * (name in FURNITURE), int(name in MAIN), False
+    whole = False  # a word of its own names the article
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -77,17 +82,20 @@ def _marks(name: str, attrs: str) -> tuple[int, int, bool]:
             elif key == "style":
                 hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif key != "aria-hidden":
-                own = set(_NAME.findall(value))
-                bad |= bool(own & BAD_WORDS)
-                good |= bool(own & GOOD_WORDS)
-    return int(bad), int(good), hidden
+                for word in value.split():
+                    own = set(_NAME.findall(word))
+                    if own & BAD_WORDS and (key == "aria-label" or not own & STATES):
+                        bad = max(bad, 1 + bool(own & LISTS))
+                    good |= bool(own & GOOD_WORDS)
+                    whole |= key in ("class", "id") and word in GOOD_WORDS
+    return 0 if bad == 1 and whole else bad, int(good), hidden
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool, bool]] = []  # name, furniture, article, hidden, link
+    stack: list[tuple[str, int, int, bool, bool, int]] = []  # name, furniture, article, hidden, link, furniture words lifted
     pieces: list[tuple[str, bool]] = []
-    n_bad = n_good = n_hidden = n_link = n_head = n_item = 0
+    n_word = n_bad = n_good = n_hidden = n_link = n_head = n_item = 0
 
     def flush() -> None:
         if not pieces:
@@ -96,13 +104,14 @@ def blocks(page: str) -> list[Block]:
         if text:
             linked = sum(len(_html.unescape(t).split()) for t, link in pieces if link)
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, linked), int(n_bad > 0), int(n_good > 0), int(n_head > 0), int(n_item > 0)))
+            out.append(Block(text, n, min(n, linked), int(n_bad + n_word > 0), int(n_good > 0), int(n_head > 0), int(n_item > 0)))
         pieces.clear()
 
     def pop() -> None:
-        nonlocal n_bad, n_good, n_hidden, n_link, n_head, n_item
-        name, bad, good, hidden, link = stack.pop()
-        n_bad, n_good, n_hidden, n_link = n_bad - bad, n_good - good, n_hidden - hidden, n_link - link
+        nonlocal n_word, n_bad, n_good, n_hidden, n_link, n_head, n_item
+        name, bad, good, hidden, link, lifted = stack.pop()
+        n_word, n_bad = n_word - (bad == 1) + lifted, n_bad - (bad == 2)
+        n_good, n_hidden, n_link = n_good - good, n_hidden - hidden, n_link - link
         n_head -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
         n_item -= name == "li"
 
@@ -154,8 +163,10 @@ def blocks(page: str) -> list[Block]:
                 pop()
         if good and bad and name in MAIN:
             bad = 0
-        stack.append((name, bad, good, hidden, name == "a"))
-        n_bad, n_good, n_hidden, n_link = n_bad + bad, n_good + good, n_hidden + hidden, n_link + (name == "a")
+        lifted = n_word if name in MAIN else 0  # words of wrappers do not reach into an article
+        stack.append((name, bad, good, hidden, name == "a", lifted))
+        n_word, n_bad = n_word - lifted + (bad == 1), n_bad + (bad == 2)
+        n_good, n_hidden, n_link = n_good + good, n_hidden + hidden, n_link + (name == "a")
         n_head += name in ("h1", "h2", "h3", "h4", "h5", "h6")
         n_item += name == "li"
     flush()
