@@ -1,22 +1,26 @@
 """Line dedup: winnowing over line hashes.
 
-Lines are cut into *units* after sentence ends and after words whose hash is divisible by ``EVERY``.  Whether a word ends a
-unit depends on that word alone, so a passage pasted anywhere into other lines is cut alike there: but for its first few
-words, and its last few, it is found even if it holds no sentence end.
-A run is a sequence of consecutive units with at least ``min_words`` words.  A run that also occurs earlier (documents
-in order of doc_id, nulls last, then text hash; inside a document by position) is deleted; the first occurrence stays.
-
-1. Every window of units that just reaches ``min_words`` words, forwards and backwards, picks its least unit hash as
-   fingerprint.  Equal runs contain equal windows, so any repeated run shares a fingerprint: nothing is missed.
-2. Fingerprints are counted (pre-aggregated) and positions are joined to those that occur twice or more.
-3. From each joined position the match is extended both ways over its windows: the window's units are compared through
-   one hash with the first document that has them, never pair by pair, so a hot line costs its own rows only.
-4. Units of later equal windows are deleted.  The union of the windows is exactly the maximal repeated run.
-5. Whole lines of ``min_line`` words or more, but too short for a run, are told by one hash of their units: those that
-   equal a whole line before them are deleted too.  Longer lines are runs.
-
-Defined cases: null text counts as empty and stays as it is; texts without a repeated run stay byte for byte; rows equal
-in doc_id and text are one document and get the same result; empty tables give empty results.
+Lines are logical: a line of ``LINE`` words starts at every word, because a passage pasted into other text shares no line
+break with its source.  A run of at least ``min_words`` words that also stands earlier (documents in order of doc_id, nulls
+last, then text hash; inside a document by position) is deleted; what stands first stays.
+
+1. Of the line hashes in every window of ``min_words`` words the least is a fingerprint.  Equal windows pick equal
+   fingerprints, so a repeated run of that length shares one, guaranteed; windows that overlap mostly share theirs.
+2. Fingerprints are counted (pre-aggregated); those that occur once go.  Positions are joined to the first of their kind.
+3. Matches grow from fingerprint to fingerprint: where the words up to the next fingerprint hash alike in both documents,
+   the two are one run.  One row stands for a run, whatever its length.
+4. Runs are extended both ways, word by word, beyond their outer fingerprints: the first holder sends only the words around
+   its edges that some run asked for.  What then has ``min_words`` words is deleted.
+5. Whole physical lines of ``min_line`` words or more, and whole documents, are told by one hash each: later equal ones go.
+
+A fingerprint is compared with its first holder, never pair by pair, so a hot line costs its own rows only.  What goes
+always stands earlier in ``min_words`` words or more; a run stays only if each of its fingerprints is held first by a
+document that shares less than that around it.  Words are compared by 64-bit hashes, at the outer edges of runs by 32 bits.
+
+Defined cases: words are those of ``wordstream``: blanks of any kind and number between them do not count, characters of
+scripts without blanks are words.  Null text counts as empty and stays as it is; texts without a repeated run stay byte
+for byte; a line that loses all its words goes with its line break, kept words keep the blanks between them; rows equal in
+doc_id and text are one document and get the same result; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,221 +30,246 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, lists, materialize, small_batches, texts
+from .common import keyed, materialize, release, small_batches
+from .wordstream import Words, mix, span_hash
 
 MIN_WORDS = 25
 MIN_LINE = 4  # words of a whole line that is deleted by itself
-EVERY = 4
-_KNOWN = 200_000  # words whose cut a worker remembers
-_cuts: dict[str, bool] = {}
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def cuts(word: str) -> bool:
-    """Whether a unit ends after this word."""
-    got = _cuts.get(word)
-    if got is None:
-        if len(_cuts) >= _KNOWN:
-            _cuts.clear()
-        got = bool(word) and (word[-1] in ".!?" or xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % EVERY == 0)
-        if len(word) <= 64:
-            _cuts[word] = got
-    return got
-
-
-def pieces(text: str) -> list[list[str]]:
-    """Units of each line; joined by a blank they are the line again."""
-    out = []
-    for line in text.split("\n"):
-        words = line.split(" ")
-        ends = [i + 1 for i, w in enumerate(words) if cuts(w)]
-        if not ends or ends[-1] < len(words):
-            ends.append(len(words))
-        out.append([" ".join(words[a:b]) for a, b in zip([0, *ends], ends)])
-    return out
+LINE = 8  # words of a logical line
+_WHOLE = np.uint64(0xD6E8FEB86659FD93)  # keeps hashes of whole lines apart from those of logical ones
+_EXACT = np.iinfo(np.int32).min
+
+
+def grain(min_words: int) -> tuple[int, int]:
+    """(words of a logical line, lines in a window)."""
+    line = max(1, min(LINE, min_words // 3))
+    return line, min_words - line + 1
 
 
-def units(text: str) -> list[str]:
-    return [p.strip() for line in pieces(text) for p in line if p and not p.isspace()]
-
-
-def delete(text: str, gone: set[int]) -> str:
-    """The text without the units of these numbers; a line that loses all its units goes with its line break."""
-    if not gone:
-        return text
-    out, n = [], 0
-    for line in pieces(text):
-        kept, lost = [], False
-        for p in line:
-            if p and not p.isspace():
-                if n in gone:
-                    lost = True
-                else:
-                    kept.append(p)
-                n += 1
-            else:
-                kept.append(p)
-        if not lost:
-            out.append(" ".join(line))
-        elif any(p and not p.isspace() for p in kept):
-            out.append(" ".join(kept))
-    return "\n".join(out)
-
-
-def windows(words: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) unit of each window over units laid end to end; doc: the document number of each unit."""
+def _least(x: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of every size neighbours."""
+    step = 1
+    while 2 * step <= size:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    return np.minimum(x[: len(x) - (size - step)], x[size - step :]) if step < size else x
+
+
+def winnow(words: np.ndarray, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the fingerprints of texts laid end to end; starts: first word of each, and the end."""
+    line, window = grain(min_words)
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    at = np.arange(n)
-    last = np.searchsorted(total, total[:-1] + min_words, "left") - 1
-    ok = (last < n) & (doc[np.minimum(last, n - 1)] == doc)
-    first = np.searchsorted(total, total[1:] - min_words, "right") - 1
-    back = (first >= 0) & (doc[np.maximum(first, 0)] == doc)
-    pairs = np.unique(np.concatenate([at[ok] * n + last[ok], first[back] * n + at[back]]))
-    return pairs // n, pairs % n
-
-
-def least(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Position of the least hash in each window, the leftmost at a tie."""
-    best = first.copy()
-    step, alive = 1, np.flatnonzero(last > first)
-    while len(alive):
-        at = first[alive] + step
-        better = h[at] < h[best[alive]]
-        best[alive[better]] = at[better]
-        step += 1
-        alive = alive[first[alive] + step <= last[alive]]
-    return best
-
-
-def span_hash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of the units of each window, in order."""
-    u = h.view(np.uint64)
-    out = u[first] * _BASE + np.uint64(1)
-    step, alive = 1, np.flatnonzero(last > first)
-    while len(alive):
-        x = (out[alive] ^ (out[alive] >> np.uint64(29))) * _BASE
-        out[alive] = x + u[first[alive] + step]
-        step += 1
-        alive = alive[first[alive] + step <= last[alive]]
-    return (out ^ (out >> np.uint64(32))).view(np.int64)
-
-
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and words of all units of a batch, the row of each, and where each row starts."""
-    col = batch.column("h")
-    sizes = np.asarray(col.value_lengths().fill_null(0), np.int64)
-    h = np.array(col.flatten(), np.int64)
-    w = np.array(batch.column("w").flatten(), np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    return h, w, np.repeat(np.arange(len(sizes)), sizes), starts
-
-
-def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        hashes, words, sizes, lines, n_lines = [], [], [], [], []
-        for text in texts(batch.column("text")):
-            by_line = [own for line in pieces(text) if (own := [p.strip() for p in line if p and not p.isspace()])]
-            lines += [len(own) for own in by_line]
-            n_lines.append(len(by_line))
-            own = [x for line in by_line for x in line]
-            sizes.append(len(own))
-            hashes += [digest(x.encode("utf-8", "surrogatepass")) for x in own]
-            words += [x.count(" ") + 1 for x in own]
-        h = np.array(hashes, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), lists(h, sizes, pa.int64()), lists(np.array(words, np.int32), sizes, pa.int32()), lists(np.array(lines, np.int32), n_lines, pa.int32())], ["d", "k", "h", "w", "l"])
-
-
-def _fingerprints(min_words: int):
+    if n < min_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(n - line + 1)
+    h = span_hash(words, at, at + line)
+    bits = n.bit_length()  # the position breaks ties: the leftmost wins
+    least = _least((h >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64), window)
+    inside = np.arange(len(least)) + min_words <= np.repeat(starts[1:], np.diff(starts))[: len(least)]
+    chosen = np.zeros(n, bool)
+    chosen[(least[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    at = np.flatnonzero(chosen)
+    return at, h[at]
+
+
+def _rows(batch: pa.RecordBatch, own: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """d and k of the texts own, and more columns."""
+    take = pa.array(own)
+    return pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("k").take(take), *map(pa.array, columns.values())], ["d", "k", *columns])
+
+
+def _positions(min_words: int, min_line: int | None):
+    """Of each text: its fingerprints (n = 0, g: hash of the words up to the end of the next one, 0 for none), its whole
+    lines and the text as a whole (n: words)."""
+    line = grain(min_words)[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, w, row, starts = _flat(batch)
-            at = np.unique(least(h, *windows(w, row, min_words)))
-            take = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), batch.column("d").take(take), batch.column("k").take(take), pa.array((at - starts[row[at]]).astype(np.int32))], ["h", "d", "k", "at"])
+            w = Words(batch.column("text"))
+            at, h = winnow(w.hash, w.starts, min_words)
+            own = w.text[at]
+            g = np.zeros(len(at), np.int64)
+            next_ = np.flatnonzero(own[:-1] == own[1:])
+            g[next_] = (span_hash(w.hash, at[next_], at[next_ + 1] + line) | np.uint64(1)).view(np.int64)
+            first, end = w.lines() if min_line is not None else (at[:0], at[:0])
+            long = end - first >= (min_line or 1)
+            full = np.flatnonzero(w.sizes >= min_words)
+            first, end = np.concatenate([first[long], w.starts[full]]), np.concatenate([end[long], w.starts[full + 1]])
+            whole = mix(span_hash(w.hash, first, end) ^ _WHOLE)
+            own = np.concatenate([own, w.text[first]])
+            yield _rows(
+                batch,
+                own,
+                h=np.concatenate([h, whole]).view(np.int64),
+                p=(np.concatenate([at, first]) - w.starts[own]).astype(np.int32),
+                n=np.concatenate([np.zeros(len(at), np.int32), (end - first).astype(np.int32)]),
+                g=np.concatenate([g, np.zeros(len(first), np.int64)]).astype(np.int32),
+            )
 
     return run
 
 
-def _extend(min_words: int):
+def _chains(line: int):
+    """Rows (d, k, p, n, same, d0, k0, p0) sorted by (d, k, p, n) to runs (d, k, i, j, d0, k0, z): the words i to j (end
+    exclusive) stand z words further on in the first holder; z is _EXACT where the run needs no extension."""
+
+    def link(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        doc = (np.diff(x["d"], prepend=x["d"][:1]) != 0) | (np.diff(x["k"], prepend=x["k"][:1]) != 0)
+        again = ~doc & (np.diff(x["p"], prepend=-1) == 0) & (np.diff(x["n"], prepend=-1) == 0)
+        x = {c: v[~again] for c, v in x.items()}  # repeated rows
+        whole = x["n"] > 0
+        out = [(x["d"][whole], x["k"][whole], x["p"][whole], x["p"][whole] + x["n"][whole], x["d0"][whole], x["k0"][whole], np.full(whole.sum(), _EXACT))]
+        x = {c: v[~whole] for c, v in x.items()}
+        if len(x["p"]):
+            z = x["p0"] - x["p"]
+            head = np.ones(len(z), bool)
+            head[1:] = ~x["same"][:-1]
+            for v in (x["d"], x["k"], x["d0"], x["k0"], z):
+                head[1:] |= v[1:] != v[:-1]
+            i = np.flatnonzero(head)
+            last = np.append(i[1:], len(z)) - 1
+            out.append((x["d"][i], x["k"][i], x["p"][i], x["p"][last] + line, x["d0"][i], x["k0"][i], z[i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64 if c < 2 or 3 < c < 6 else np.int32)) for c, v in enumerate(zip(*out))], ["d", "k", "i", "j", "d0", "k0", "z"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] | None = None
         for batch in batches:
-            h, w, row, starts = _flat(batch)
-            shared = np.zeros(len(h), bool)
-            sizes = np.asarray(batch.column("ats").value_lengths().fill_null(0), np.int64)
-            shared[np.array(batch.column("ats").flatten(), np.int64) + np.repeat(starts[:-1], sizes)] = True
-            first, last = windows(w, row, min_words)
-            best = least(h, first, last)
-            hit = shared[best] if len(best) else np.zeros(0, bool)
-            first, last, best = first[hit], last[hit], best[hit]
-            own = row[first]
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(h[best]), pa.array(span_hash(h, first, last)), batch.column("d").take(take), batch.column("k").take(take), pa.array((first - starts[own]).astype(np.int32)), pa.array((last - starts[own]).astype(np.int32))], ["h", "s", "d", "k", "i", "j"])
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            if kept is not None:
+                x = {c: np.concatenate([kept[c], v]) for c, v in x.items()}
+            if not len(x["d"]):
+                continue
+            open_ = int(np.argmax((x["d"] == x["d"][-1]) & (x["k"] == x["k"][-1])))  # the last document may go on
+            kept = {c: v[open_:].copy() for c, v in x.items()}
+            if open_:
+                yield link({c: v[:open_] for c, v in x.items()})
+        if kept is not None:
+            yield link(kept)
 
     return run
 
 
-def _short_lines(min_line: int, min_words: int):
-    """Whole lines that no window covers: the hash of their units, and the first and last of these."""
+def _around(reach: int):
+    """The words that edges ask for, as 32-bit hashes, 0 for none: edge 2 * i those before word i, from the nearest on;
+    edge 2 * j + 1 those from word j on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, w, row, starts = _flat(batch)
-            n = np.array(batch.column("l").flatten(), np.int64)
-            last = np.cumsum(n) - 1
-            first = last - n + 1
-            total = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
-            words = total[last + 1] - total[first]
-            ok = (words >= min_line) & (words < min_words)
-            first, last = first[ok], last[ok]
-            own = row[first]
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(h, first, last)), batch.column("d").take(take), batch.column("k").take(take), pa.array((first - starts[own]).astype(np.int32)), pa.array((last - starts[own]).astype(np.int32))], ["s", "d", "k", "i", "j"])
+            w = Words(batch.column("text"))
+            short = np.append(w.hash.astype(np.uint32) | np.uint32(1), np.uint32(0))
+            asked = batch.column("edges")
+            edge = np.array(asked.flatten(), np.int64)
+            own = np.repeat(np.arange(batch.num_rows), np.asarray(asked.value_lengths().fill_null(0), np.int64))
+            at, lo, hi = (edge >> 1) + w.starts[own], w.starts[own], w.starts[own + 1]
+            on = np.arange(reach)[None, :]
+            at = np.where((edge & 1)[:, None] == 1, at[:, None] + on, at[:, None] - 1 - on)
+            at[(at < lo[:, None]) | (at >= hi[:, None])] = -1
+            data = np.ascontiguousarray(short[at])
+            offsets = np.arange(len(edge) + 1, dtype=np.int32) * (4 * reach)
+            got = _rows(batch, own, edge=edge)
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], ["d0", "k0", "edge", "c"])
 
     return run
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = None) -> DataFrame:
-    """(d, k, runs): for each document with units to delete, the windows and lines that cover them."""
+    """(d, k, runs): for each document with something to delete its runs (i, j, left, right): words i to j, and the words
+    of the first holder before and after, or nulls where the run is as it is."""
     small_batches(spark)
-    hashed = materialize(spark, keyed(docs).select("d", "k", "text").mapInArrow(_hash_units, "d long, k long, h array<long>, w array<int>, l array<int>"))
-    prints = hashed.drop("l").mapInArrow(_fingerprints(min_words), "h long, d long, k long, at int")
-    twice = materialize(spark, prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    joined = prints.join(twice, "h").groupBy("d", "k").agg(F.collect_set("at").alias("ats"))
-    spans = materialize(spark, hashed.join(joined, ["d", "k"]).select("d", "k", "h", "w", "ats").mapInArrow(_extend(min_words), "h long, s long, d long, k long, i int, j int"))
-    first = materialize(spark, spans.groupBy("h", "s").agg(F.min(F.struct("d", "k", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = spans.join(first, ["h", "s"]).where(F.struct("d", "k", "i") != F.col("f")).select("d", "k", "i", "j")
-    if min_line is not None:
-        lines = hashed.mapInArrow(_short_lines(min_line, min_words), "s long, d long, k long, i int, j int")
-        head = materialize(spark, lines.groupBy("s").agg(F.min(F.struct("d", "k", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        later = later.union(lines.join(head, "s").where(F.struct("d", "k", "i") != F.col("f")).select("d", "k", "i", "j"))
-    return later.groupBy("d", "k").agg(F.collect_set(F.struct("i", "j")).alias("runs"))
-
-
-def _rewrite(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-    """The text without its runs, its units and how many of them went."""
-    out = []
-    for t, r in zip(text, runs):
-        t = t or ""
-        gone = {n for x in (r if r is not None else ()) for n in range(x["i"], x["j"] + 1)}
-        out.append((delete(t, gone), len(units(t)), len(gone)))
-    return pd.DataFrame(out, columns=["text", "n_units", "n_deleted"])
+    line, window = grain(min_words)
+    source = keyed(docs).select("d", "k", "text")
+    every = materialize(spark, source.mapInArrow(_positions(min_words, min_line), "d long, k long, h long, p int, n int, g int"))
+    twice = materialize(spark, every.groupBy("h").agg(F.count("*").alias("c"), F.min("d").alias("m")).where("c > 1").drop("c"))
+    shared = materialize(spark, every.join(twice, "h"))
+    release(spark, every, twice)
+    first = shared.where("d = m").groupBy("h").agg(F.min("d").alias("d0"), F.min(F.struct("k", "p", "g")).alias("f"))
+    first = first.select("h", "d0", F.col("f.k").alias("k0"), F.col("f.p").alias("p0"), F.col("f.g").alias("g0"))
+    later = shared.join(first, "h").where("d <> d0 or k <> k0 or p <> p0")
+    later = later.select("d", "k", "p", "n", (F.col("g") == F.col("g0")).alias("same"), "d0", "k0", "p0")
+    later = later.withColumn("same", F.col("same") & (F.col("n") == 0)).repartition("d", "k").sortWithinPartitions("d", "k", "p", "n")
+    runs = materialize(spark, later.mapInArrow(_chains(line), "d long, k long, i int, j int, d0 long, k0 long, z int"))
+    release(spark, shared)
+    grown = runs.where(F.col("z") != _EXACT)
+    edges = grown.select("d", "k", "i", "j", "d0", "k0", F.explode(F.array((F.col("i") + F.col("z")).cast("long") * 2, (F.col("j") + F.col("z")).cast("long") * 2 + 1)).alias("edge"))
+    asked = edges.select(F.col("d0").alias("d"), F.col("k0").alias("k"), "edge").distinct().groupBy("d", "k").agg(F.collect_list("edge").alias("edges"))
+    around = materialize(spark, source.join(asked, ["d", "k"]).mapInArrow(_around(window - 1), "d0 long, k0 long, edge long, c binary"))
+    once = around.dropDuplicates(["d0", "k0", "edge"])  # rows that repeat
+    known = edges.join(once, ["d0", "k0", "edge"]).select("d", "k", "i", "j", (F.col("edge") % 2).cast("int").alias("side"), "c")
+    exact = runs.where(F.col("z") == _EXACT).select("d", "k", "i", "j", F.lit(2).alias("side"), F.lit(None).cast("binary").alias("c"))
+    out = materialize(spark, known.union(exact).groupBy("d", "k").agg(F.collect_list(F.struct("i", "j", "side", "c")).alias("runs")))
+    release(spark, runs, around)
+    return out
+
+
+def extend(words: np.ndarray, runs, min_words: int) -> np.ndarray:
+    """Which words go; words: 32-bit hashes of a text, 0 for none."""
+    gone = np.zeros(len(words), bool)
+    grown: dict[tuple[int, int], list[int]] = {}
+    for x in runs:
+        i, j = x["i"], x["j"]
+        if x["side"] == 2:
+            gone[i:j] = True
+            continue
+        c = np.frombuffer(x["c"], np.uint32)
+        own = words[max(0, i - len(c)) : i][::-1] if x["side"] == 0 else words[j : j + len(c)]
+        unlike = np.flatnonzero(own != c[: len(own)])
+        grown.setdefault((i, j), [0, 0])[x["side"]] = int(unlike[0]) if len(unlike) else len(own)
+    for (i, j), (left, right) in grown.items():
+        if j - i + left + right >= min_words:
+            gone[i - left : j + right] = True
+    return gone
+
+
+def delete(raw: bytes, first: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text without some of its words; a line that loses all its words goes with its line break."""
+    out, lo = [], 0
+    at = 0
+    for line in raw.split(b"\n"):
+        hi = lo + len(line)
+        upto = int(np.searchsorted(first, hi))
+        lost = gone[at:upto]
+        if not lost.any():
+            out.append(line)
+        elif not lost.all():
+            kept = np.flatnonzero(~lost) + at
+            cut = np.flatnonzero(np.diff(kept) > 1)
+            a, b = kept[np.append(0, cut + 1)], kept[np.append(cut, len(kept) - 1)]
+            begin, stop = first[a].tolist(), end[b].tolist()
+            if not lost[0]:
+                begin[0] = lo
+            if not lost[-1]:
+                stop[-1] = hi
+            out.append(b" ".join([raw[x:y] for x, y in zip(begin, stop)]))
+        at, lo = upto, hi + 1
+    return b"\n".join(out)
+
+
+def shorten(text: str, runs, min_words: int) -> tuple[str, int]:
+    """The text without its runs, and how many words went."""
+    column = pa.array([text], pa.string())
+    w = Words(column)
+    gone = extend(w.hash.astype(np.uint32) | np.uint32(1), runs, min_words)
+    if not gone.any():
+        return text, 0
+    return delete(w.raw.tobytes(), w.first, w.end, gone).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = None) -> DataFrame:
-    """(row, text, n_units, n_deleted): every row of docs as a struct, and its text without later repeated runs and, with
-    min_line, without later equal lines of so many words."""
+    """(row, text, n_deleted): every row of docs as a struct, its text without later repeated runs and, with min_line,
+    without later equal lines of so many words, and how many words went."""
     runs = repeated_runs(spark, docs, min_words, min_line)
+
+    @F.pandas_udf("text string, n_deleted int")
+    def rewrite(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        out = [(None, 0) if r is None else shorten(t, r, min_words) for t, r in zip(text, runs)]
+        return pd.DataFrame(out, columns=["text", "n_deleted"])
+
     got = keyed(docs).join(runs, ["d", "k"], "left")
-    rewrite = F.pandas_udf(_rewrite, "text string, n_units int, n_deleted int")
-    return got.select("row", rewrite("text", "runs").alias("x")).select("row", "x.*")
+    got = got.select("row", "text", rewrite(F.when(F.col("runs").isNotNull(), F.col("text")), "runs").alias("x"))  # other texts stay in the JVM
+    return got.select("row", F.when(F.col("x.n_deleted") > 0, F.col("x.text")).otherwise(F.col("text")).alias("text"), F.col("x.n_deleted").alias("n_deleted"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = MIN_LINE) -> DataFrame:
@@ -253,8 +282,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, min_words: int = MIN_W
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: units, deleted units, and the length and digest of what stays."""
+    """Per document: words deleted, and the length and digest of what stays."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(spark, docs, min_line=MIN_LINE).select(F.col("row.doc_id").alias("doc_id"), "n_units", "n_deleted", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup(spark, docs, min_line=MIN_LINE).select(F.col("row.doc_id").alias("doc_id"), "n_deleted", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
