@@ -29,7 +29,7 @@ def test_as_the_library(both):
 def test_verified_proposals_equal_exact_merging(both):
     own, _ = both
     rng = random.Random(4)
-    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 14))) + "</w>" for _ in range(20000)]
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 14))) for _ in range(20000)]
     words = list(dict.fromkeys(words))
     before = own.merged
     assert own.encode_words(words) == [own.merge(own.base(w)) for w in words]

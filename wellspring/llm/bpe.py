@@ -1,9 +1,10 @@
 """BPE encoding and decoding: speculate and verify.
 
-Texts are cut at white space and each distinct chunk is encoded once per worker cache.  For a word, greedy longest match
-proposes tokens.  A sequence of tokens is what the merges give exactly when every adjacent pair is what the merges give
-for the two alone; all pairs are tested together, on arrays, by undoing merges at the seam.  Words with a failing pair
-(or a token that merging alone would not build) are merged exactly.
+Texts are cut at white space and each distinct chunk is encoded once per worker cache.  Greedy longest match, by one
+automaton over all new words laid end to end, proposes tokens.  A sequence of tokens is what the merges give exactly when
+every adjacent pair is what the merges give for the two alone; all pairs are tested together, on arrays, by undoing merges
+at the seam.  Where a pair fails, the letters of the two are merged exactly, and the new seams are tested in the same way;
+a word that still fails after ``ROUNDS`` such repairs is merged exactly as a whole.  So every result has passed the test.
 
 The file must hold a BPE model with an end-of-word suffix, NFC and lower-case normalizers and the word pattern below;
 anything else is refused.  Defined cases: null text is empty text; the special strings become their ids wherever they
@@ -19,18 +20,23 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, texts
 
-CACHED_CHUNKS = 250_000  # a bound on memory only: beyond it only what the batch at hand uses stays
-_SPACE = r"\p{White_Space}"
-_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pattern
+CACHED_CHUNKS = 300_000  # in each of two generations, a bound on memory only: of the older one, what is used again stays
+CACHED_PAIRS = 500_000
+ROUNDS = 4
+ROWS = 2048  # of a batch: each distinct chunk of a batch is looked up once
+_END = "\n"  # stands for the suffix in the automaton; no letter of a word
+_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
+_BLANKS = regex.compile(r"[\p{White_Space}--[\t-\r ]]+", regex.V1)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -74,41 +80,37 @@ class WordBpe:
         self.order = {pair: r for pair, (r, _) in self.rank.items()}
         self.result = [t for _, t in self.rank.values()]
         self.none = len(self.result)
-        self.reach: dict[str, int] = {}  # length of the longest token that starts with two letters
-        for token in self.vocab:
-            n = len(token) - 4 if token.endswith("</w>") and len(token) > 4 else len(token)
-            bare = token[:n]
-            for start in (bare[:2],) if n > 1 else (bare + "<",) if n < len(token) else ():
-                self.reach[start] = max(self.reach.get(start, 1), n)
+        self.greedy = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.length = np.zeros(size, np.int64)  # letters of a token; the suffix counts as one
+        for token, i in self.vocab.items():
+            spelled = token[:-4] + _END if token.endswith("</w>") and len(token) > 4 else token
+            self.greedy.add_word(spelled, i)
+            self.length[i] = len(spelled)
+        self.greedy.make_automaton()
         self.letters = _byte_letters()
         self.table = "".join(self.letters)  # translates bytes read as Latin-1
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.unstable = {t for t in self.vocab.values() if not self.stable(t)}
+        self.joined: dict[int, list[int]] = {}  # what merging gives for the letters of two tokens
+        every = range(max(self.names) + 1)
+        self.digits = pa.array([str(i) for i in every], pa.large_string())
+        self.spellings = pa.array([self.names.get(i, "") for i in every], pa.large_string())
         self.ids_of: dict[str, str] = {}
         self.names_of: dict[str, str] = {}
-        self.words_of: dict[str, tuple[str, str]] = {}
+        self.old_ids: dict[str, str] = {}
+        self.old_names: dict[str, str] = {}
         self.merged = self.proposed = 0
 
     # -- speculate ------------------------------------------------------------------------------------------------
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match over the letters of a word that ends in the suffix."""
-        get, reach, out, i, n = self.vocab.get, self.reach.get, [], 0, len(word) - 4  # the suffix belongs to the last letter
-        while i < n:
-            j = i + reach(word[i : i + 2], 1)
-            got = None
-            if j >= n:
-                got, j = get(word[i:]), n
-                if got is None:
-                    j = n - 1
-            if got is None:
-                while j > i and (got := get(word[i:j])) is None:
-                    j -= 1
-                if j <= i:
-                    raise ValueError(f"no token for {word[i]!r}")
-            out.append(got)
-            i = j
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of all words, tokens of each word, whether they make the word) by greedy longest match."""
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1  # of each word's suffix
+        got = np.array(list(self.greedy.iter_long(_END.join(words) + _END)), np.int64).reshape(-1, 2)
+        owner = np.searchsorted(ends, got[:, 0])
+        size = np.bincount(owner, minlength=len(words))
+        # A token may swallow the last letter and leave the suffix; such words, or gaps, do not add up.
+        letters = np.bincount(owner, self.length[got[:, 1]], len(words)).astype(np.int64)
+        return got[:, 1], size, letters == np.diff(ends, prepend=-1)
 
     # -- verify ---------------------------------------------------------------------------------------------------
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,112 +160,177 @@ class WordBpe:
         return s
 
     def base(self, word: str) -> list[int]:
-        n = len(word) - 4
-        return [self.vocab[c] for c in word[: n - 1]] + [self.vocab[word[n - 1 :]]]
+        """Letters of a word; the last one carries the suffix."""
+        return [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + "</w>"]]
+
+    def letters_of(self, token: int) -> list[int]:
+        name = self.names[token]
+        return self.base(name[:-4]) if name.endswith("</w>") and len(name) > 4 else [self.vocab[c] for c in name]
 
     def stable(self, token: int) -> bool:
         """Do the merges build this token from its own letters?"""
-        got = self.alone.get(token)
+        return self.merge(self.letters_of(token)) == [token]
+
+    def join(self, a: int, b: int) -> list[int]:
+        """Exact merging of the letters of two tokens that do not stand together."""
+        code = a * self.shift + b
+        got = self.joined.get(code)
         if got is None:
-            name = self.names[token]
-            base = self.base(name) if name.endswith("</w>") and len(name) > 4 else [self.vocab[c] for c in name]
-            got = self.alone[token] = self.merge(base) == [token]
+            if len(self.joined) >= CACHED_PAIRS:
+                self.joined.clear()
+            got = self.joined[code] = self.merge(self.letters_of(a) + self.letters_of(b))
         return got
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each distinct word, given as letters with the suffix."""
-        proposals = [self.propose(w) for w in words]
-        size = self.shift
-        flat = np.array([t for p in proposals for t in p], np.int64)
-        ends = np.cumsum([len(p) for p in proposals])
-        seam = np.ones(max(len(flat) - 1, 0), bool)
-        seam[ends[:-1] - 1] = False
-        codes = (flat[:-1] * size + flat[1:])[seam]
-        new = np.array([c for c in np.unique(codes).tolist() if c not in self.pairs], np.int64)
-        if len(new):
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-                new = np.unique(codes)
-            self.pairs.update(zip(new.tolist(), self.compatible(new // size, new % size).tolist()))
-        bad_word = np.zeros(len(words), bool)
-        distinct, back = np.unique(codes, return_inverse=True)
-        ok = np.array([self.pairs[c] for c in distinct.tolist()], bool)
-        owner = np.repeat(np.arange(len(words)), [len(p) - 1 for p in proposals])
-        if len(ok):
-            bad_word[owner[~ok[back]]] = True
-        self.proposed += len(words)
-        out = []
-        for w, p, bad in zip(words, proposals, bad_word.tolist()):
-            if bad or not all(map(self.stable, p)):
-                self.merged += 1
-                p = self.merge(self.base(w))
-            out.append(p)
+    def failing(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of each place in the tokens of many words: does the pair that starts there fail?  The last of a word does not."""
+        out = np.zeros(len(flat), bool)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum(size)[size > 0] - 1] = False
+        at = np.flatnonzero(inner)
+        pairs, back = np.unique(flat[at] * self.shift + flat[at + 1], return_inverse=True)
+        if len(pairs):
+            out[at] = ~self.compatible(pairs // self.shift, pairs % self.shift)[back]
         return out
 
+    def repair(self, flat: np.ndarray, size: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replace each failing pair by what merging gives for its letters; of overlapping pairs every other one."""
+        at = np.flatnonzero(bad)
+        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        chosen = at[(at - np.repeat(at[run], np.diff(np.append(run, len(at))))) % 2 == 0]
+        pairs, back = np.unique(flat[chosen] * self.shift + flat[chosen + 1], return_inverse=True)
+        joined = [self.join(c // self.shift, c % self.shift) for c in pairs.tolist()]
+        lengths = np.array([len(x) for x in joined], np.int64)
+        new = np.array([t for x in joined for t in x], np.int64)
+        count = np.ones(len(flat), np.int64)
+        count[chosen], count[chosen + 1] = lengths[back], 0
+        begin = np.zeros(len(flat), np.int64)  # where the replacement of a place starts in new
+        begin[chosen] = (np.cumsum(lengths) - lengths)[back]
+        place = np.repeat(np.arange(len(flat)), count)
+        within = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        replaced = np.zeros(len(flat), bool)
+        replaced[chosen] = True
+        hit = replaced[place]
+        out = flat[place]
+        out[hit] = new[begin[place[hit]] + within[hit]]
+        return out, np.bincount(np.repeat(np.arange(len(size)), size), count, len(size)).astype(np.int64)
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words laid end to end, ids of each); words are given as letters."""
+        flat, size, whole = self.propose(words)
+        self.proposed += len(words)
+        if self.unstable:
+            shaky = np.isin(flat, np.array(sorted(self.unstable)))
+            whole[np.repeat(np.arange(len(size)), size)[shaky]] = False
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        todo = np.arange(len(words))
+
+        def part(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return todo[keep], size[keep], flat[np.repeat(keep, size)]
+
+        todo, size, flat = part(whole)
+        for again in range(ROUNDS + 1):
+            bad = self.failing(flat, size)
+            wrong = np.bincount(np.repeat(np.arange(len(size)), size)[bad], minlength=len(size)) > 0
+            done.append(part(~wrong))
+            inner = np.repeat(wrong, size)
+            todo, size, flat = part(wrong)
+            if not len(todo) or again == ROUNDS:
+                break
+            flat, size = self.repair(flat, size, bad[inner])
+        rest = np.concatenate([np.flatnonzero(~whole), todo])
+        merged = [self.merge(self.base(words[i])) for i in rest.tolist()]
+        self.merged += len(merged)
+        done.append((rest, np.array([len(m) for m in merged], np.int64), np.array([t for m in merged for t in m], np.int64)))
+        which, size, flat = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(which)
+        begin, n = (np.cumsum(size) - size)[order], size[order]
+        return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(flat))], n
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        flat, size = self.encode_flat(words)
+        ends = np.cumsum(size).tolist()
+        ids = flat.tolist()
+        return [ids[b - n : b] for b, n in zip(ends, size.tolist())]
+
     # -- texts ----------------------------------------------------------------------------------------------------
     def _learn(self, chunks: list[str]) -> None:
-        """Put normalized chunks without white space into the cache."""
-        letters = self.table
-        spelled: dict[str, None] = {}
-        per = []
+        """Put normalized chunks without white space into the cache, and the words they are made of."""
+        ids_of, names_of, table = self.ids_of, self.names_of, self.table
+        new: dict[str, str] = {}  # spelling of each word
+        made: list[tuple[str, list[str]]] = []
         for c in chunks:
-            own = [c] if c.isalpha() and c.isascii() else _WORD.findall(c)
-            own = [(w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)) + "</w>" for w in own]
-            per.append(own)
-            spelled.update(dict.fromkeys(own))
-        known = self.words_of
-        words = [w for w in spelled if w not in known]
-        if len(known) + len(words) > CACHED_CHUNKS:
-            known.clear()
-            words = list(spelled)
-        for w, own in zip(words, self.encode_words(words) if words else ()):
-            known[w] = " ".join(map(str, own)), " ".join([self.names[t] for t in own])
-        for c, own in zip(chunks, per):
-            if len(own) == 1:
-                self.ids_of[c], self.names_of[c] = known[own[0]]
+            if c.isalpha():
+                own = None
+            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
+                own = [c[:-1], c[-1]]
             else:
-                self.ids_of[c] = " ".join([known[w][0] for w in own])
-                self.names_of[c] = " ".join([known[w][1] for w in own])
-
-    def _chunks(self, text: str) -> list[str]:
+                own = _WORD.findall(c)
+                if own == [c]:
+                    own = None
+            if own is not None:
+                made.append((c, own))
+            for w in own if own is not None else (c,):
+                if w not in ids_of and w not in new:
+                    new[w] = w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
+        if new:
+            flat, size = self.encode_flat(list(new.values()))
+            offsets, flat = pa.array(np.append(0, np.cumsum(size)), pa.int64()), pa.array(flat)
+            for known, spelled in ((ids_of, self.digits), (names_of, self.spellings)):
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, spelled.take(flat)), pa.scalar(" ", pa.large_string()))
+                known.update(zip(new, joined.to_pylist()))
+        for c, own in made:
+            ids_of[c] = " ".join([ids_of[w] for w in own])
+            names_of[c] = " ".join([names_of[w] for w in own])
+
+    def _normal(self, text: str) -> str:
+        """Normalized, with every blank that the pattern knows as an ASCII one."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        if _ODD.search(text):
-            return [x for x in regex.split(rf"{_SPACE}+", text) if x]
-        return text.split()
-
-    def parts(self, text: str) -> list[list[str] | str]:
-        """Chunk lists, with special strings between them."""
-        if self.cut is None or "<|" not in text:
-            return [self._chunks(text)]
-        return [x if x in self.special else self._chunks(x) for x in self.cut.split(text) if x]
+            text = _BLANKS.sub(" ", unicodedata.normalize("NFC", text).replace("Σ", "σ"))
+        return text.lower().strip(" \t\n\v\f\r")
+
+    def _lookup(self, chunks: list[str]) -> None:
+        """Have all of these distinct chunks in the younger generation of the cache."""
+        if len(self.ids_of) > CACHED_CHUNKS:
+            self.old_ids, self.old_names, self.ids_of, self.names_of = self.ids_of, self.names_of, {}, {}
+        young, old, missing = self.ids_of, self.old_ids.get, []
+        for c in chunks:
+            if c not in young:
+                got = old(c)
+                if got is None:
+                    missing.append(c)
+                else:
+                    young[c], self.names_of[c] = got, self.old_names[c]
+        if missing:
+            self._learn(missing)
+
+    def encode_arrays(self, many: list[str]) -> tuple[pa.Array, pa.Array]:
+        """For each text without special strings: ids and tokens, each joined by one space."""
+        lists = pc.ascii_split_whitespace(pa.array([self._normal(t) for t in many], pa.large_string()))
+        coded = pc.dictionary_encode(lists.flatten())
+        chunks = coded.dictionary.to_pylist()
+        self._lookup([c for c in chunks if c])
+        out = []
+        for known in (self.ids_of, self.names_of):
+            words = pa.array([known[c] if c else "" for c in chunks], pa.large_string()).take(coded.indices)
+            out.append(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, words), pa.scalar(" ", pa.large_string())))
+        return out[0], out[1]
 
     def encode_texts(self, many: list[str]) -> list[tuple[str, str]]:
-        """For each text: ids and tokens, each joined by one space."""
-        cut = [self.parts(t) for t in many]
-        wanted = {c for parts in cut for p in parts if isinstance(p, list) for c in p}
-        missing = {c for c in wanted if c not in self.ids_of}
-        if len(self.ids_of) + len(missing) > CACHED_CHUNKS:  # keep what this batch uses
-            used = wanted - missing
-            self.ids_of = {c: self.ids_of[c] for c in used}
-            self.names_of = {c: self.names_of[c] for c in used}
-        if missing:
-            self._learn(sorted(missing))
-        ids, names, out = self.ids_of.__getitem__, self.names_of.__getitem__, []
-        for parts in cut:
-            a, b = [], []
-            for p in parts:
-                if isinstance(p, list):
-                    a.append(" ".join(map(ids, p)))
-                    b.append(" ".join(map(names, p)))
-                else:
-                    a.append(str(self.special[p]))
-                    b.append(p)
-            if len(a) > 1:
-                a, b = [x for x in a if x], [x for x in b if x]
-            out.append((" ".join(a), " ".join(b)))
-        return out
+        """For each text: ids and tokens, each joined by one space; special strings become their ids."""
+        pieces, owner = [], []
+        for i, t in enumerate(many):
+            own = [t] if self.cut is None or "<|" not in t else [x for x in self.cut.split(t) if x]
+            pieces += own
+            owner += [i] * len(own)
+        ids, names = (x.to_pylist() for x in self.encode_arrays([x if x not in self.special else "" for x in pieces]))
+        out: list[tuple[list[str], list[str]]] = [([], []) for _ in many]
+        for i, x, a, b in zip(owner, pieces, ids, names):
+            if x in self.special:
+                a, b = str(self.special[x]), x
+            if a:
+                out[i][0].append(a)
+                out[i][1].append(b)
+        return [(" ".join(a), " ".join(b)) for a, b in out]
 
     def encode(self, text: str) -> list[int]:
         got = self.encode_texts([text])[0][0]
@@ -302,7 +369,7 @@ def _digests(path: str | None):
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): token ids of each document, and the text they decode to."""
-    small_batches(spark)
+    small_batches(spark, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or default_path())
@@ -315,7 +382,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
 
 def token_digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; rows repeat as they do in docs."""
-    small_batches(spark)
+    small_batches(spark, ROWS)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
