@@ -51,7 +51,7 @@ def test_query(spark, small):
 TEXT = "<p>This is the text of a page, long enough to be told from furniture by anyone.</p>"
 
 
-@pytest.mark.parametrize("page", ['<div class="content no-sidebar">{}</div>', '<div class="page nav-closed">{}</div>', '<div class="modal"><article>{}</article></div>', '<div id="header"><main>{}</main></div>', '<div class="main sidebar">{}</div>'])
+@pytest.mark.parametrize("page", ['<div class="content no-sidebar">{}</div>', '<div class="page nav-closed">{}</div>', '<div class="modal"><article>{}</article></div>', '<div id="header"><main>{}</main></div>', '<div class="main sidebar">{}</div>', '<div class="content has-sidebar"><article>{}</article></div>', '<div class="layout no-header"><article>{}</article></div>', '<div class="right-sidebar single-post"><article>{}</article></div>', '<form id="aspnetForm"><article>{}</article></form>', '<form id="aspnetForm"><div>{}</div></form>', '<div aria-label="main story and comments"><article>{}</article></div>', '<div class="comments-open widget-area"><main>{}</main></div>', '<div class="right-sidebar single-post">{}</div>'])
 def test_words_of_a_wrapper_do_not_empty_the_page(page):
     assert ht.extract(page.format(TEXT)) == TEXT[3:-4]
 
@@ -59,3 +59,56 @@ def test_words_of_a_wrapper_do_not_empty_the_page(page):
 @pytest.mark.parametrize("page", ['<div class="sidebar">{}</div>', '<article><div class="ad">{}</div></article>', '<aside class="content">{}</aside>', '<div id="comments"><article class="comment-body">{}</article></div>', '<div class="modal"><article></article>{}</div>'])
 def test_furniture_still_goes(page):
     assert ht.extract(page.format(TEXT)) == ""
+
+
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="right-sidebar single-post">{}</div>', '<section aria-label="main story and comments">{}</section>'])
+def test_furniture_inside_a_layout_still_goes(wrap):
+    inner = PAGE[PAGE.index("<header") : PAGE.index("</body>")]
+    assert ht.extract(PAGE.replace(inner, wrap.format(inner))) == ht.extract(PAGE)
+
+
+def test_deep_nesting():
+    assert ht.extract('<div class="ad">' * 20_000 + "no" + "</div>" * 20_000 + "<p>yes it is") == "yes it is"
+
+
+def brute(page):
+    """The main text of a page of the table, whose markup is simple: what stands in its article, by regular expressions."""
+    import html
+    import re
+
+    found = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    inner = re.sub(r"<(/?(?:p|br|h1|ul|li|div))(?:\s[^>]*)?>", "\n", found[1] if found else "")
+    lines = [html.unescape(re.sub(r"<[^>]*>", "", x)) for x in inner.split("\n")]
+    return " ".join(" ".join(lines).split())
+
+
+def test_pages_as_brute_force(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in ht.query(spark, small).collect()}
+    assert len(got) == len(pages) > 20 and all(got[p.page_id] == brute(p.html) for p in pages)
+
+
+def test_words_and_links_tell_text_where_nothing_is_named(spark, small):
+    """Names taken away, the tree goes by word counts, link density and neighbours alone."""
+    import re
+
+    words = kept = lost = 0
+    for p in spark.read.parquet(f"{small}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:nav|footer|article|header|main)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", p.html or ""))
+        own, want = ht.blocks(plain), ht.extract(p.html)
+        verdicts = ht.decide(ht.tree(), ht.features(own)) if own else []
+        for b, keep in zip(own, verdicts):
+            words += b.words
+            lost += b.words * (not keep and b.text in want)
+            kept += b.words * bool(keep and b.text not in want)
+    assert lost < 0.01 * words and kept < 0.1 * words, (lost, kept, words)
+
+
+def test_every_column_of_the_tree_is_told_from_the_table():
+    """Without the furniture column, most labels still follow from words, links and neighbours."""
+    import numpy as np
+
+    rows = np.array(ht.BLOCKS, float)
+    x, y = rows[:, :-1].copy(), rows[:, -1]
+    x[:, ht.FEATURES.index("furniture")] = 0
+    assert (ht.decide(ht.grow(x, y), x) == y.astype(bool)).mean() > 0.85

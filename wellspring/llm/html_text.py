@@ -5,6 +5,11 @@ those of its neighbours, and by what encloses it (elements and class, id or role
 decision tree, trained here on the small labelled table ``BLOCKS``, calls each block text or furniture.  The page's text
 is its text blocks in order.
 
+What encloses a block is a weak sign, because names of layout reach over whole pages.  So an element that names furniture
+does not count as such if the page's article stands in it, or if it only seems to (a form, or a compound like
+right-sidebar) and holds over half of the page's words.  The page's article is, of the article and main elements with words
+that do not themselves name furniture, one outside furniture if there is one, and then the one with the most words.
+
 Scripts, styles, templates, comments and the like are markup, not blocks.  Character references are decoded once, white
 space inside a block becomes one space.  Text outside any furniture is kept whole; nothing is cut or capped.
 
@@ -70,10 +75,38 @@ class Block:
     item: int
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element that names furniture or an article; up: the next one around it; dirty: in furniture, itself counted."""
+
+    furniture: bool
+    weak: bool
+    up: Mark | None
+    words: int = 0
+    layout: bool = False
+    dirty: bool = False
+
+
+def _settle(marks: list[Mark], total: int) -> None:
+    """Decide which elements are layout; marks: outer ones before inner ones, words: those not in an inner mark."""
+    for x in reversed(marks):
+        if x.up:
+            x.up.words += x.words
+    for x in marks:
+        x.dirty = x.furniture or x.up is not None and x.up.dirty
+    articles = [x for x in marks if not x.furniture and x.words]
+    at = max(articles, key=lambda x: (not x.dirty, x.words)) if articles else None
+    while at:
+        at.layout, at = True, at.up
+    for x in marks:
+        x.layout |= x.weak and 2 * x.words > total
+        x.dirty = x.furniture and not x.layout or x.up is not None and x.up.dirty
+
+
 def _marks(name: str, attrs: str) -> tuple[int, int, bool]:
-    """(names furniture, names the article, hidden) of one tag; furniture is 2 if it stays so around an article."""
-    bad, good, hidden = 2 * (name in FURNITURE), int(name in MAIN), False
-    whole = False  # a word of its own names the article
+    """(names furniture, names the article, hidden) of one tag; furniture is 1 if it only seems to be."""
+    bad, good, hidden = (1 if name == "form" else 2) * (name in FURNITURE), int(name in MAIN), False
+    whole = lists = False  # a word of its own names the article; a word names furniture that holds articles
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -85,17 +118,21 @@ def _marks(name: str, attrs: str) -> tuple[int, int, bool]:
                 for word in value.split():
                     own = set(_NAME.findall(word))
                     if own & BAD_WORDS and (key == "aria-label" or not own & STATES):
-                        bad = max(bad, 1 + bool(own & LISTS))
+                        bad = max(bad, 1 + bool(own & LISTS or word in BAD_WORDS))
                     good |= bool(own & GOOD_WORDS)
+                    lists |= bool(own & LISTS) and not own & STATES
                     whole |= key in ("class", "id") and word in GOOD_WORDS
-    return 0 if bad == 1 and whole else bad, int(good), hidden
+    return 0 if bad and whole and name not in FURNITURE and not lists else bad, int(good), hidden
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool, bool, int]] = []  # name, furniture, article, hidden, link, furniture words lifted
+    stack: list[tuple[str, Mark | None, int, bool, bool]] = []  # name, mark around it, names the article, hidden, link
     pieces: list[tuple[str, bool]] = []
-    n_word = n_bad = n_good = n_hidden = n_link = n_head = n_item = 0
+    here: Mark | None = None
+    marks: list[Mark] = []
+    marked: list[Mark | None] = []  # innermost mark around each block
+    n_good = n_hidden = n_link = n_head = n_item = 0
 
     def flush() -> None:
         if not pieces:
@@ -104,13 +141,15 @@ def blocks(page: str) -> list[Block]:
         if text:
             linked = sum(len(_html.unescape(t).split()) for t, link in pieces if link)
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, linked), int(n_bad + n_word > 0), int(n_good > 0), int(n_head > 0), int(n_item > 0)))
+            out.append(Block(text, n, min(n, linked), 0, int(n_good > 0), int(n_head > 0), int(n_item > 0)))
+            marked.append(here)
+            if here:
+                here.words += n
         pieces.clear()
 
     def pop() -> None:
-        nonlocal n_word, n_bad, n_good, n_hidden, n_link, n_head, n_item
-        name, bad, good, hidden, link, lifted = stack.pop()
-        n_word, n_bad = n_word - (bad == 1) + lifted, n_bad - (bad == 2)
+        nonlocal here, n_good, n_hidden, n_link, n_head, n_item
+        name, here, good, hidden, link = stack.pop()
         n_good, n_hidden, n_link = n_good - good, n_hidden - hidden, n_link - link
         n_head -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
         n_item -= name == "li"
@@ -161,15 +200,17 @@ def blocks(page: str) -> list[Block]:
         if name == "body":
             while any(x[0] == "head" for x in stack):
                 pop()
-        if good and bad and name in MAIN:
-            bad = 0
-        lifted = n_word if name in MAIN else 0  # words of wrappers do not reach into an article
-        stack.append((name, bad, good, hidden, name == "a", lifted))
-        n_word, n_bad = n_word - lifted + (bad == 1), n_bad + (bad == 2)
+        stack.append((name, here, good, hidden, name == "a"))
+        if bad or name in MAIN:
+            here = Mark(bool(bad), bad == 1, here)
+            marks.append(here)
         n_good, n_hidden, n_link = n_good + good, n_hidden + hidden, n_link + (name == "a")
         n_head += name in ("h1", "h2", "h3", "h4", "h5", "h6")
         n_item += name == "li"
     flush()
+    _settle(marks, sum(b.words for b in out))
+    for block, mark in zip(out, marked):
+        block.bad = int(mark is not None and mark.dirty)
     return out
 
 
