@@ -59,7 +59,16 @@ def test_schedules_do_not_change_results(spark, small):
     assert rows("1") == rows("5")
 
 
-def test_whole_forms_reach_every_value(spark, small):
+def test_queries_reach_every_value(spark, small):
     n = spark.read.parquet(f"{small}/embeddings.parquet").count()
     want = {"split_diff": n // 2 * 64, "reshape": n * 64, "im2col_2d": (n - 1) * 63 * 4, "planned_multi_output": n * 64, "matmul": n * 64, "matmul_chain": n * 64}
-    assert {q: catalogue.QUERIES[f"{q}_whole"].run(spark, small).count() for q in want} == want
+    assert {q: catalogue.QUERIES[q].run(spark, small).count() for q in want} == want
+
+
+def test_arrays_of_one_origin_are_not_joined(spark, small):
+    def plan(name):
+        return catalogue.QUERIES[name].run(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("diamond", "binary_subtract", "binary_multiply", "self_shift_diff"):
+        assert plan(name).count("FileScan") == 1 and "Join" not in plan(name), name
+    assert plan("sum_two_grains").count("FileScan") == 1

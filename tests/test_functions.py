@@ -75,4 +75,46 @@ def test_alignment_lattice(m, r, n, s, k):
 
 def test_small_helpers():
     assert (im.gcd(12, 18), im.lcm(4, 6), im.is_power_of_two(8), im.is_power_of_two(6), im.sign(-3)) == (6, 12, True, False, -1)
-    assert im.staircase_range(0, 4, 4) == (-3, 0) and im.staircase_range(0, 4, 3) == (None, None)
+    assert im.staircase_range((0, 4, 4), (0, 1, -1)) == (-3, 0) and im.staircase_range((0, 4, 3)) == (None, None) == im.staircase_range((0, 2000, 2000), (0, 1, -1))
+    assert im.staircase_range() == im.staircase_range((3, 0, 5), (1, 7, 0)) == (0, 0)
+
+
+stairs = st.tuples(small, st.integers(-9, 9).filter(bool), st.integers(-6, 6))
+
+
+@given(stairs, stairs, st.integers(-3, 3), st.integers(-3000, 3000))
+def test_staircases_stay_in_their_range(p, q, k, x):
+    both = [p, q, (0, 1, k)]
+    low, high = im.staircase_range(*both)
+    if low is not None:
+        assert low <= sum(im.py_euclid_div(x + a, b) * c for a, b, c in both) <= high
+
+
+@given(intervals, intervals, st.tuples(*[st.booleans()] * 4))
+def test_products_and_quotients_of_intervals(a, b, opened):
+    wide = [Interval(None if lo else i.min, None if hi else i.max) for i, lo, hi in ((a, *opened[:2]), (b, *opened[2:]))]
+    product, quotient = wide[0] * wide[1], wide[0].floordiv(wide[1])
+    for x in (a.min, (a.min + a.max) // 2, a.max, *([a.min - 70] if opened[0] else []), *([a.max + 70] if opened[1] else [])):
+        for y in (b.min, -1, 0, 1, b.max, *([b.min - 70] if opened[2] else []), *([b.max + 70] if opened[3] else [])):
+            if wide[1].contains(y):
+                assert product.contains(x * y) and quotient.contains(im.py_euclid_div(x, y))
+    if not any(opened):
+        members = [x * y for x in range(a.min, a.max + 1) for y in (b.min, b.max)]
+        assert (product.min, product.max) == (min(members), max(members))
+
+
+@given(intervals)
+def test_signs(a):
+    own = range(a.min, a.max + 1)
+    assert (a.is_positive, a.is_non_negative, a.is_negative, a.is_non_positive, a.is_zero) == (min(own) > 0, min(own) >= 0, max(own) < 0, max(own) <= 0, set(own) == {0})
+    assert not Interval(None, None).is_non_negative and Interval(1, None).is_positive and not Interval(0, -1).is_positive
+
+
+@given(st.integers(0, 12), small, st.integers(0, 12), small, st.integers(-30, 30), st.integers(-9, 9))
+def test_lattice_quotients_and_meets(m, r, n, s, k, by):
+    a, b = im.Alignment(m, r), im.Alignment(n, s)
+    x = m * k + r
+    assert im.py_euclid_div(x, by) in a // by
+    meet = a & b
+    for y in range(-200, 200):
+        assert (y in a and y in b) == (meet is not None and y in meet)

@@ -273,15 +273,8 @@ def stack(s, d):
     return ri.stack("z", a, ew.square(a))
 
 
-@query(f"WITH {E} SELECT a.x, a.y, a.v - b.v AS v FROM E a JOIN E b ON a.x = b.x AND b.y = a.y + 100 WHERE a.y < 100 AND b.y < 200")
-def split_diff(s, d):
-    low, high = ri.split(emb(s, d, rows=Interval(0, 199)), "y", 100)
-    return ew.subtract(low, high)
-
-
-# The queries named _whole take their boxes from the measured array, where those before them read fixed rows or columns.
 @query(f"WITH {E}, {H} SELECT a.x, a.y, a.v - b.v AS v FROM H, E a JOIN E b ON a.x = b.x WHERE b.y = a.y + (h + 1) // 2 AND a.y < (h + 1) // 2")
-def split_diff_whole(s, d):
+def split_diff(s, d):
     a = emb(s, d)
     low, high = ri.split(a, "y", a.box["y"].min + a.box["y"].extent // 2)
     return ew.subtract(low, high)
@@ -293,13 +286,8 @@ def slice_diff(s, d):
     return ew.subtract(ri.slice_at(a, y=0), ri.slice_at(a, y=1))
 
 
-@query(f"WITH {E} SELECT (y * 64 + x) % 50 AS p, (y * 64 + x) // 50 AS q, v FROM E WHERE y < 50")
-def reshape(s, d):
-    return ri.reshape(emb(s, d, rows=Interval(0, 49)), {"p": 50, "q": 64})
-
-
 @query(f"WITH {E}, {H} SELECT (y * 64 + x) % (h + 1) AS p, (y * 64 + x) // (h + 1) AS q, v FROM E, H")
-def reshape_whole(s, d):
+def reshape(s, d):
     a = emb(s, d)
     return ri.reshape(a, {"p": a.box["y"].extent, "q": a.box["x"].extent})
 
@@ -332,13 +320,8 @@ def im2col_reduce(s, d):
     return rd.total(ri.im2col(fr.events(s, d), {"x": (2, 3, 3)}), "dx")
 
 
-@query(f"WITH {E} SELECT a.x - dx AS x, a.y - dy AS y, dx, dy, v FROM E a, (SELECT unnest(range(2))::BIGINT AS dx) p, (SELECT unnest(range(2))::BIGINT AS dy) q WHERE a.y < 40 AND a.x - dx BETWEEN 0 AND 62 AND a.y - dy BETWEEN 0 AND 38")
-def im2col_2d(s, d):
-    return ri.im2col(emb(s, d, rows=Interval(0, 39)), {"x": (1, 1, 2), "y": (1, 1, 2)})
-
-
 @query(f"WITH {E}, {H} SELECT a.x - dx AS x, a.y - dy AS y, dx, dy, v FROM H, E a, (SELECT unnest(range(2))::BIGINT AS dx) p, (SELECT unnest(range(2))::BIGINT AS dy) q WHERE a.x - dx BETWEEN 0 AND 62 AND a.y - dy BETWEEN 0 AND h - 1")
-def im2col_2d_whole(s, d):
+def im2col_2d(s, d):
     return ri.im2col(emb(s, d), {"x": (1, 1, 2), "y": (1, 1, 2)})
 
 
@@ -368,29 +351,10 @@ def outer_product(s, d):
 
 
 def _left(s, d) -> ArrayFrame:
-    return ri.transpose(emb(s, d, cols=Interval(0, 31)), {"x": "k", "y": "i"})
-
-
-def _right(s, d) -> ArrayFrame:
-    return ri.transpose(emb(s, d, rows=Interval(0, 31), cols=Interval(0, 31)), {"x": "j", "y": "k"})
-
-
-@query(f"WITH {E} SELECT a.y AS i, b.x AS j, sum(a.v * b.v)::BIGINT AS v FROM E a JOIN E b ON a.x = b.y WHERE a.x < 32 AND b.x < 32 GROUP BY 1, 2")
-def matmul(s, d):
-    return rd.matmul(_left(s, d), _right(s, d))
-
-
-@query(f"WITH {E}, M AS (SELECT a.y AS i, b.x AS j, sum(a.v * b.v)::BIGINT AS v FROM E a JOIN E b ON a.x = b.y WHERE a.x < 32 AND b.x < 32 GROUP BY 1, 2) SELECT i, c.x AS j, sum(M.v * c.v)::BIGINT AS v FROM M JOIN E c ON c.y = M.j WHERE c.x < 32 GROUP BY 1, 2")
-def matmul_chain(s, d):
-    ab = ri.transpose(rd.matmul(_left(s, d), _right(s, d)), {"i": "i", "j": "k"})
-    return rd.matmul(ab, _right(s, d))
-
-
-def _whole_left(s, d) -> ArrayFrame:
     return ri.transpose(emb(s, d), {"x": "k", "y": "i"})
 
 
-def _whole_right(s, d) -> ArrayFrame:
+def _right(s, d) -> ArrayFrame:
     """Square, so that it has a row for each of the 64 columns of the left side."""
     return ri.transpose(emb(s, d, rows=Interval(0, 63)), {"x": "j", "y": "k"})
 
@@ -399,14 +363,14 @@ _MM = "SELECT a.y AS i, b.x AS j, sum(a.v * b.v)::BIGINT AS v FROM E a JOIN E b
 
 
 @query(f"WITH {E} {_MM}")
-def matmul_whole(s, d):
-    return rd.matmul(_whole_left(s, d), _whole_right(s, d))
+def matmul(s, d):
+    return rd.matmul(_left(s, d), _right(s, d))
 
 
 @query(f"WITH {E}, M AS ({_MM}) SELECT i, c.x AS j, sum(M.v * c.v)::BIGINT AS v FROM M JOIN E c ON c.y = M.j GROUP BY 1, 2")
-def matmul_chain_whole(s, d):
-    ab = ri.transpose(rd.matmul(_whole_left(s, d), _whole_right(s, d)), {"i": "i", "j": "k"})
-    return rd.matmul(ab, _whole_right(s, d))
+def matmul_chain(s, d):
+    ab = ri.transpose(rd.matmul(_left(s, d), _right(s, d)), {"i": "i", "j": "k"})
+    return rd.matmul(ab, _right(s, d))
 
 
 @query(f"WITH {E} SELECT y, sum(v)::BIGINT AS v FROM E GROUP BY y")
@@ -416,8 +380,7 @@ def sum_dim(s, d):
 
 @query(f"WITH {E} SELECT 0::BIGINT AS grain, y, sum(v)::BIGINT AS v FROM E GROUP BY y UNION ALL SELECT 1, 0, sum(v)::BIGINT FROM E")
 def sum_two_grains(s, d):
-    fine, coarse = rd.two_grains(emb(s, d), ["y"], [])
-    return fine.df.select(F.lit(0).cast("long").alias("grain"), "y", "v").union(coarse.df.select(F.lit(1).cast("long"), F.lit(0).cast("long"), "v"))
+    return rd.grains(emb(s, d), ["y"], [])
 
 
 @query(f"WITH {E} SELECT y, max(v) AS v FROM E GROUP BY y")
@@ -563,19 +526,9 @@ def pyramid4(s, d):
 
 
 # -- pipelines ----------------------------------------------------------------------------------------------------------
-@query(f"WITH {E}, S AS (SELECT y, sum(v + 5)::BIGINT AS t FROM E WHERE x BETWEEN 8 AND 15 GROUP BY y) SELECT x, y, (v + 5) * 10 - t AS v FROM E JOIN S USING (y) WHERE x BETWEEN 8 AND 15 AND y BETWEEN 3 AND 90")
-def planned_multi_output(s, d):
-    """Scalar argument, derived scalar, two outputs of one stage, one of them broadcast, and a cached root."""
-    return _planned(s, d, box(x=(8, 15), y=(3, 90)))
-
-
 @query(f"WITH {E}, S AS (SELECT y, sum(v + 5)::BIGINT AS t FROM E GROUP BY y) SELECT x, y, (v + 5) * 10 - t AS v FROM E JOIN S USING (y)")
-def planned_multi_output_whole(s, d):
-    return _planned(s, d)
-
-
-def _planned(s, d, want: Box | None = None) -> ArrayFrame:
-    """Over the box wanted, or over all."""
+def planned_multi_output(s, d):
+    """Scalar argument, derived scalar, two outputs of one stage, one of them broadcast."""
     src = emb(s, d)
     a, one, row, out = Buffer("in", ("x", "y")), Buffer("one", ("x", "y")), Buffer("row", ("y",)), Buffer("out", ("x", "y"))
 
@@ -585,8 +538,8 @@ def _planned(s, d, want: Box | None = None) -> ArrayFrame:
 
     Stage(both, [(a, pointwise)], [one, row], "both")
     Stage(lambda p, r, _, twice: ew.zip_with(lambda v, t: v * twice - t, p, r), [(one, pointwise), (row, lambda o: o.without("x"))], [out], "scale")
-    p = Pipeline([a], [out], ("k", "twice"), {"twice": lambda v: v["k"] * 2})
-    return p.evaluate({"out": want or src.box}, {"in": src}, {"k": 5, "twice": 0})["out"]
+    p = Pipeline([a], [out], ("k",), {"twice": lambda v: v["k"] * 2})
+    return p.evaluate({"out": src.box}, {"in": src}, {"k": 5})["out"]
 
 
 @query("SELECT event_type, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*) AS n, sum(CAST(floor(value * 1000) AS BIGINT))::BIGINT AS total FROM events GROUP BY 1, 2")
@@ -595,3 +548,6 @@ def windowed_events(s, d):
     from .streaming.sliding import windowed_sum
 
     return windowed_sum(fr.read(s, d, "events")).withColumn("start", F.unix_timestamp("start"))
+
+
+from . import catalogue_plans  # noqa: E402, F401  registers the rest

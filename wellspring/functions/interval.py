@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intmath import py_align_down, py_align_up
+from .intmath import py_align_down, py_align_up, py_euclid_div
 
 
 @dataclass(frozen=True)
@@ -66,14 +66,53 @@ class Interval:
     def __sub__(self, o: int | Interval) -> Interval:
         return self + (-o)
 
-    def __mul__(self, k: int) -> Interval:
+    def __mul__(self, k: int | Interval) -> Interval:
+        """Products of the members; with an interval of unknown sign, their hull."""
+        if isinstance(k, Interval):
+            if self.empty or k.empty:
+                return EMPTY
+            return _hull([_times(a, b) for a in self._ends() for b in k._ends()])
         if k < 0:
             return -(self * -k)
         return point(0) if k == 0 else Interval(*[None if a is None else a * k for a in (self.min, self.max)])
 
-    def floordiv(self, k: int) -> Interval:
-        """Image under floor division by a positive number."""
-        return Interval(*[None if a is None else a // k for a in (self.min, self.max)])
+    def floordiv(self, k: int | Interval) -> Interval:
+        """Quotients of the members, rounded so that the remainder is not negative; by zero the quotient is zero."""
+        if not isinstance(k, Interval):
+            if k > 0:
+                return Interval(*[None if a is None else a // k for a in (self.min, self.max)])
+            k = point(k)
+        if self.empty or k.empty:
+            return EMPTY
+        out = point(0) if k.contains(0) else EMPTY
+        for part in (k & Interval(1, None), k & Interval(None, -1)):
+            if not part.empty:  # of one sign, where the quotient is monotone in either number
+                out = out | _hull([_over(a, b) for a in self._ends() for b in part._ends()])
+        return out
+
+    def _ends(self) -> tuple[float | int, float | int]:
+        return -INFINITE if self.min is None else self.min, INFINITE if self.max is None else self.max
+
+    # What is known of the sign of all members; nothing is known of an empty interval's.
+    @property
+    def is_positive(self) -> bool:
+        return self.min is not None and self.min > 0 and not self.empty
+
+    @property
+    def is_non_negative(self) -> bool:
+        return self.min is not None and self.min >= 0 and not self.empty
+
+    @property
+    def is_negative(self) -> bool:
+        return self.max is not None and self.max < 0 and not self.empty
+
+    @property
+    def is_non_positive(self) -> bool:
+        return self.max is not None and self.max <= 0 and not self.empty
+
+    @property
+    def is_zero(self) -> bool:
+        return self == point(0)
 
     def align(self, n: int) -> Interval:
         """The least hull whose ends fall on multiples of n."""
@@ -94,6 +133,28 @@ class Interval:
         return c <= self.max if self.min is None else c >= self.min
 
 
+INFINITE = float("inf")
+EMPTY = Interval(0, -1)
+EVERYTHING = Interval()
+
+
+def _times(a, b):
+    return 0 if a == 0 or b == 0 else a * b
+
+
+def _over(a, b):
+    """Of an end that may be infinite, by one that is not zero."""
+    if abs(b) == INFINITE:
+        if abs(a) == INFINITE:
+            return 0  # any quotient between the other ends' and this
+        return 0 if a >= 0 else (-1 if b > 0 else 1)
+    return a * b if abs(a) == INFINITE else py_euclid_div(a, b)
+
+
+def _hull(ends: list) -> Interval:
+    return Interval(None if min(ends) == -INFINITE else min(ends), None if max(ends) == INFINITE else max(ends))
+
+
 def point(x: int) -> Interval:
     return Interval(x, x)
 

@@ -8,6 +8,7 @@ divisor and both raise on zero in ANSI mode, so each is guarded here.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,18 +194,18 @@ def sign(x: int) -> int:
     return (x > 0) - (x < 0)
 
 
-def staircase_range(a: int, b: int, c: int, largest_period: int = 1024) -> tuple[int | None, int | None]:
-    """Least and greatest of ((x + a) / b) * c - x * c / b ... that is, of how far a staircase leaves its slope.
+def staircase_range(*stairs: tuple[int, int, int], largest_period: int = 1024) -> tuple[int | None, int | None]:
+    """Least and greatest, over all x, of the sum of staircases ((x + a) div b) * c, each given as (a, b, c).
 
-    The difference ((x + a) div b) * c - x * (c div b) has period b when b divides c; otherwise it is unbounded and both
-    ends are None, as they are for periods too long to search.
+    A sum is bounded exactly where the slopes c / b add up to nothing; it then repeats with the least common multiple of
+    the widths, over which it is searched.  Both ends are None where it is unbounded, or a width beyond largest_period.
+    A staircase of width 0 is 0.
     """
-    if b == 0:
-        return (0, 0) if c == 0 else (None, None)
-    if abs(b) > largest_period or c % b:
+    stairs = [s for s in stairs if s[1] and s[2]]
+    if sum((Fraction(c, b) for _, b, c in stairs), Fraction(0)) or any(abs(b) > largest_period for _, b, _ in stairs):
         return None, None
-    slope = c // b
-    seen = [py_euclid_div(x + a, b) * c - x * slope for x in range(abs(b))]
+    period = math.lcm(*[b for _, b, _ in stairs]) if stairs else 1
+    seen = [sum(py_euclid_div(x + a, b) * c for a, b, c in stairs) for x in range(period)]
     return min(seen), max(seen)
 
 
@@ -233,6 +234,25 @@ class Alignment:
         """Holds for either."""
         return Alignment(math.gcd(self.m, o.m, self.r - o.r), self.r)
 
+    def __floordiv__(self, n: int) -> Alignment:
+        """Quotients by n whose remainder is not negative; by zero they are zero."""
+        if n == 0:
+            return Alignment(0, 0)
+        if self.m % n == 0:
+            return Alignment(self.m // n, py_euclid_div(self.r, n))
+        return Alignment(1)
+
+    def __and__(self, o: Alignment) -> Alignment | None:
+        """Holds for both; None if nothing does."""
+        if not self.m or not o.m:
+            one, other = (self, o) if not self.m else (o, self)
+            return one if one.r in other else None
+        g = math.gcd(self.m, o.m)
+        if (o.r - self.r) % g:
+            return None
+        step = (o.r - self.r) // g * pow(self.m // g, -1, o.m // g) % (o.m // g) if o.m > g else 0
+        return Alignment(math.lcm(self.m, o.m), self.r + self.m * step)
+
     def __mod__(self, n: int) -> Alignment:
         return Alignment(0, self.r % abs(n)) if n and self.m % n == 0 else Alignment(math.gcd(self.m, n), self.r)
 

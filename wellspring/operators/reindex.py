@@ -83,8 +83,14 @@ def pull(src: ArrayFrame, maps: Map, out: Box) -> ArrayFrame:
     return ArrayFrame(spread(df, out.without(*got)).select(*out, "v"), out)
 
 
-def copy(src: ArrayFrame, maps: Map, out: Box, pad: int | ArrayFrame | None = None) -> ArrayFrame:
-    """pad: a constant, an array (dimensions it lacks are broadcast), or None: the source must cover the output."""
+def copy(src: ArrayFrame, maps: Map, out: Box, pad: int | ArrayFrame | None = None, crop_to: Box | None = None, **slice_to: int) -> ArrayFrame:
+    """pad: a constant, an array (dimensions it lacks are broadcast), or None: the source must cover the output.
+
+    crop_to: only this part of the output is made.  slice_to: the output is one slice of an array with these dimensions.
+    """
+    if slice_to:
+        return place(copy(src, maps, out, pad, crop_to), **slice_to)
+    out = out if crop_to is None else out & crop_to
     need = required(maps, out)
     if pad is None:
         if not src.box.contains(need):
@@ -103,7 +109,7 @@ def identity(box: Box) -> Map:
 
 def crop(a: ArrayFrame, to: Box) -> ArrayFrame:
     out = a.box & to
-    return ArrayFrame(a.df.where(to.holds()), out, a.sparse)
+    return a if out == a.box else ArrayFrame(a.df.where(to.holds()), out, a.sparse, a.origin, a.fn, a.shift)
 
 
 def slice_at(a: ArrayFrame, **at: int) -> ArrayFrame:
@@ -115,7 +121,8 @@ def slice_at(a: ArrayFrame, **at: int) -> ArrayFrame:
 
 def translate(a: ArrayFrame, **by: int) -> ArrayFrame:
     df = a.df.select(*[(F.col(d) + by[d]).alias(d) if by.get(d) else F.col(d) for d in a.dims], "v")
-    return ArrayFrame(df, Box({d: i + by.get(d, 0) for d, i in a.box.items()}), a.sparse)
+    away = dict(a.shift)
+    return ArrayFrame(df, Box({d: i + by.get(d, 0) for d, i in a.box.items()}), a.sparse, a.origin, a.fn, tuple((d, away.get(d, 0) + by.get(d, 0)) for d in a.dims))
 
 
 def flip(a: ArrayFrame, d: str) -> ArrayFrame:
@@ -172,13 +179,61 @@ def concat(d: str, *arrays: ArrayFrame) -> ArrayFrame:
     return ArrayFrame(df, moved[0].box.with_(**{d: Interval(arrays[0].box[d].min, at - 1)}))
 
 
-def stack(d: str, *arrays: ArrayFrame) -> ArrayFrame:
-    """A new, last dimension that numbers the arrays."""
+def stack(d: str, *arrays: ArrayFrame, at: int | None = None) -> ArrayFrame:
+    """A new dimension that numbers the arrays, at a position among the others: the last where none is given or there are
+    fewer."""
     df = fold(lambda x, y: x.unionByName(y), [a.df.withColumn(d, F.lit(i).cast("long")) for i, a in enumerate(arrays)])
-    box = Box({**arrays[0].box, d: Interval(0, len(arrays) - 1)})
+    dims = arrays[0].dims
+    dims.insert(len(dims) if at is None or at < 0 else min(at, len(dims)), d)
+    box = Box({e: Interval(0, len(arrays) - 1) if e == d else arrays[0].box[e] for e in dims})
     return ArrayFrame(df.select(*box, "v"), box)
 
 
+def place(a: ArrayFrame, **at: int) -> ArrayFrame:
+    """One slice of an array with more dimensions: the inverse of slice_at."""
+    box = Box({**a.box, **{d: point(k) for d, k in at.items()}})
+    return ArrayFrame(a.df.select(*[F.lit(at[d]).cast("long").alias(d) if d in at else F.col(d) for d in box], "v"), box, a.sparse)
+
+
+def merge(out: Box, *sources: tuple[ArrayFrame, Map]) -> ArrayFrame:
+    """Several sources copied into one array; where two meet the later one stands, where none reaches nothing does.
+
+    Sources whose parts cannot meet, which their boxes tell, are a plain union.
+    """
+    parts = []
+    for src, maps in sources:
+        reach = Box(out)
+        for d, a in maps.items():
+            if a.dim is not None and a.scale in (1, -1) and src.box[d].bounded:
+                reach = reach.with_(**{a.dim: reach[a.dim] & (src.box[d] - a.offset) * a.scale})
+        parts.append((pull(src, maps, out).df.select(*out, "v"), reach))
+    df = fold(lambda x, y: x.unionByName(y), [p.withColumn("_i", F.lit(i)) for i, (p, _) in enumerate(parts)])
+    meet = any(not (a & b).empty for i, (_, a) in enumerate(parts) for _, b in parts[:i])
+    if meet:
+        df = df.groupBy(*out).agg(F.max_by("v", "_i").alias("v"))
+    return ArrayFrame(df.select(*out, "v"), out, sparse=meet or sum(r.volume for _, r in parts) != out.volume)
+
+
+def element(a: ArrayFrame, **at: int | None) -> DataFrame:
+    """(v): the value at a place, null if it lies outside the box; an index of None stands at the box's minimum."""
+    where = {d: a.box[d].min if at.get(d) is None else at[d] for d in a.dims}
+    one = a.df.sparkSession.range(1).select()
+    if not all(a.box[d].contains(k) for d, k in where.items()):
+        return one.select(F.lit(None).cast(a.df.schema["v"].dataType).alias("v"))
+    return one.join(slice_at(a, **where).df.select("v"), how="left")
+
+
+def per_tile(a: ArrayFrame, sizes: dict[str, int], kernel, within: Box | None = None) -> ArrayFrame:
+    """A kernel over whole tiles: it gets the rows of one as a pandas frame and gives rows of the same columns.
+
+    A tile is one task's group, so its size is what bounds memory, not the array's.
+    """
+    names = [f"_{d}" for d in sizes]
+    df = a.df.select(*a.df.columns, *[positive_div(F.col(d) - a.box[d].min, n).alias(f"_{d}") for d, n in sizes.items()])
+    got = df.groupBy(*names).applyInPandas(lambda g: kernel(g.drop(columns=names)), a.df.schema)
+    return ArrayFrame(got, within or a.box, a.sparse)
+
+
 def split(a: ArrayFrame, d: str, at: int) -> tuple[ArrayFrame, ArrayFrame]:
     """Two parts, the second re-based to start where the first does."""
     low = crop(a, Box({d: Interval(None, at - 1)}))

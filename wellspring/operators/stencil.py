@@ -1,9 +1,9 @@
 """Stencils.
 
-A rectangle sum is separable: one range window a dimension, each partitioned by the others.  Ranges, not rows, so that
-gaps in the coordinates stay gaps.  Only outputs with full support are given, as in a pipeline whose output box is the
-input's without its halo; pad first to keep the box.  A long row is cut into chunks with a halo instead, so that no
-window runs in a single partition.
+A rectangle sum is separable: one range window a dimension, each partitioned by the others and, where a line is long, by
+chunks of it with a halo, so that the number of tasks grows with every dimension.  Ranges, not rows, so that gaps in the
+coordinates stay gaps.  Only outputs with full support are given, as in a pipeline whose output box is the input's without
+its halo; pad first to keep the box.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intmath import positive_div
 from ..functions.interval import Box, Interval
 from ..sources.frame import ArrayFrame
 from .reindex import copy, identity
+from .windows import CHUNK, dealt
 
 
 def required(out: Box, taps: dict[str, tuple[int, int]]) -> Box:
@@ -22,15 +22,13 @@ def required(out: Box, taps: dict[str, tuple[int, int]]) -> Box:
     return Box({d: i + Interval(*taps[d]) if d in taps else i for d, i in out.items()})
 
 
-def rectangle_sum(a: ArrayFrame, taps: dict[str, tuple[int, int]]) -> ArrayFrame:
+def rectangle_sum(a: ArrayFrame, taps: dict[str, tuple[int, int]], chunk: int = CHUNK) -> ArrayFrame:
     """taps: dimension to (first, last) offset."""
     df, n = a.df.withColumn("n", F.lit(1).cast("long")), 1
     for d, (low, high) in taps.items():
-        others = [e for e in a.dims if e != d]
-        if not others:
-            return chunked_sum(a, d, low, high)
-        w = Window.partitionBy(*others).orderBy(d).rangeBetween(low, high)
-        df = df.select(*a.dims, F.sum("v").over(w).alias("v"), F.sum("n").over(w).alias("n"))
+        df, keys, own = dealt(df, a.box, d, low, high, chunk)
+        w = Window.partitionBy(*[e for e in a.dims if e != d], *keys).orderBy(d).rangeBetween(low, high)
+        df = df.select(*a.dims, *keys, F.sum("v").over(w).alias("v"), F.sum("n").over(w).alias("n")).where(own).drop(*keys)
         n *= high - low + 1
     box = Box({d: Interval(i.min - taps[d][0], i.max - taps[d][1]) if d in taps else i for d, i in a.box.items()})
     return ArrayFrame(df.where(F.col("n") == n).select(*a.dims, "v"), box)
@@ -40,15 +38,9 @@ def square_sum(a: ArrayFrame, radius: int, x: str = "x", y: str = "y") -> ArrayF
     return rectangle_sum(a, {x: (-radius, radius), y: (-radius, radius)})
 
 
-def chunked_sum(a: ArrayFrame, d: str, low: int, high: int, chunk: int = 4096) -> ArrayFrame:
-    """One dimension, cut into chunks; a value near a border goes to the neighbouring chunk too."""
-    chunk = max(chunk, high - low)
-    first, last = positive_div(F.col(d) - high, chunk), positive_div(F.col(d) - low, chunk)
-    df = a.df.withColumn("c", F.explode(F.sequence(first, last)))
-    w = Window.partitionBy("c").orderBy(d).rangeBetween(low, high)
-    df = df.select("c", d, F.sum("v").over(w).alias("v"), F.count("v").over(w).alias("n"))
-    df = df.where((F.col("c") == positive_div(F.col(d), chunk)) & (F.col("n") == high - low + 1))
-    return ArrayFrame(df.select(d, "v"), Box({d: Interval(a.box[d].min - low, a.box[d].max - high)}))
+def chunked_sum(a: ArrayFrame, d: str, low: int, high: int, chunk: int = CHUNK) -> ArrayFrame:
+    """A sum along one dimension."""
+    return rectangle_sum(a, {d: (low, high)}, chunk)
 
 
 def scatter_sum(a: ArrayFrame, taps: list[dict[str, int]], weights: list[int] | None = None) -> ArrayFrame:

@@ -6,7 +6,8 @@ column.  Strides, folds and storage have no place here: they are physical.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,19 @@ class ArrayFrame:
     df: DataFrame
     box: Box
     sparse: bool = False
+    # Where the values come from, if they are a function of those of one frame, each moved by a fixed step: arrays of the
+    # same origin meet in a projection or a window instead of a join.
+    root: DataFrame | None = field(default=None, compare=False, repr=False)
+    fn: Callable[[Column], Column] | None = field(default=None, compare=False, repr=False)
+    shift: tuple[tuple[str, int], ...] = field(default=(), compare=False, repr=False)
+
+    @property
+    def origin(self) -> DataFrame:
+        return self.df if self.root is None else self.root
+
+    def of_origin(self, v: Column) -> Column:
+        """The value, from that of the origin."""
+        return v if self.fn is None else self.fn(v)
 
     @property
     def dims(self) -> list[str]:
@@ -38,7 +52,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def measured(df: DataFrame, dims: list[str]) -> Box:
-    """The box of a frame whose bounds are not known: one aggregate, answered from column statistics where they exist."""
+    """The box of a frame whose bounds are not known: one aggregate over the dimensions alone."""
     row = df.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first()
     return Box({d: Interval(*(row[2 * i : 2 * i + 2] if row[2 * i] is not None else (0, -1))) for i, d in enumerate(dims)})
 
@@ -83,8 +97,8 @@ def nation_grid(spark: SparkSession, sf_dir: str) -> ArrayFrame:
 
 def scatter(df: DataFrame, dims: dict[str, Column], value: Column, how=F.sum) -> ArrayFrame:
     """Rows whose coordinates repeat: reduced to one value a coordinate first.  The result is sparse."""
-    got = df.select(*[c.cast("long").alias(d) for d, c in dims.items()], value.alias("v")).groupBy(*dims).agg(how("v").alias("v"))
-    return ArrayFrame(got, measured(got, list(dims)), sparse=True)
+    rows = df.select(*[c.cast("long").alias(d) for d, c in dims.items()], value.alias("v"))
+    return ArrayFrame(rows.groupBy(*dims).agg(how("v").alias("v")), measured(rows, list(dims)), sparse=True)
 
 
 def domain(spark: SparkSession, box: Box) -> DataFrame:
@@ -108,9 +122,14 @@ def generate(spark: SparkSession, box: Box, formula: Column) -> ArrayFrame:
 
 
 def constant(spark: SparkSession, rows: list[tuple], dims: list[str]) -> ArrayFrame:
-    """A small array given by value: (coordinates..., value)."""
+    """A small array given by value: (coordinates..., value).  No rows: an empty box; no dimensions: a scalar."""
     df = spark.createDataFrame(rows, ", ".join(f"{d} long" for d in [*dims, "v"]))
-    return ArrayFrame(df, Box({d: Interval(min(r[i] for r in rows), max(r[i] for r in rows)) for i, d in enumerate(dims)}))
+    return ArrayFrame(df, Box({d: Interval(min((r[i] for r in rows), default=0), max((r[i] for r in rows), default=-1)) for i, d in enumerate(dims)}))
+
+
+def scalar(spark: SparkSession, v: int) -> ArrayFrame:
+    """An array without dimensions."""
+    return constant(spark, [(v,)], [])
 
 
 def write(a: ArrayFrame, path: str) -> None:
