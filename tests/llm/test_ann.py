@@ -73,3 +73,49 @@ def test_probing_finds_every_code_in_the_radius():
             at, found = index.within(q, radius)
             assert sorted(at) == np.flatnonzero(d <= radius).tolist() and (found == d[at]).all()
         assert len(index.search(q, 0, 30)) >= 30
+
+
+def clustered(n=3000, dim=48, seed=9):
+    """Tight groups far apart, of 25 vectors and more."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 40, dim))
+    x = centres[rng.integers(0, len(centres), n)] + 0.05 * rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_clustered_vectors_are_probed(spark, monkeypatch):
+    """Probing on keys, with few candidates; queries that find too few go to the blocks."""
+    x = clustered()
+    rows = [(i, v.tolist(), "", 0) for i, v in enumerate(x)] + [(4000, x[7].tolist(), "", 0), (4001, x[0].tolist(), "", 0)]
+    asked, blocks, found = [], [], []
+    monkeypatch.setattr(ann, "admitted", lambda r, bits, f=ann.admitted: asked.append(f(r, bits)) or asked[-1])
+    real, scan = ann.candidates, ann._blocks
+    monkeypatch.setattr(ann, "candidates", lambda q, *a: found.append(real(q, *a)) or found[-1])
+    monkeypatch.setattr(ann, "_blocks", lambda s, q, *a: blocks.append(q.count()) or scan(s, q, *a))
+    got, want = result(spark, rows), brute(rows)
+    assert asked[0] <= ann.ADMITS and got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
+    hit = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) / sum(map(len, want.values()))
+    assert hit >= 0.9
+    assert blocks[0] < len(want) / 2 and found[0].count() < 0.1 * len(want) * len(rows)
+
+
+def test_candidates_are_all_codes_within_the_radius(spark):
+    x = clustered(600, 24, 4)
+    codes = ann.learn(x, 1.0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    radius = codes.turns.shape[1] // 8
+    got = {tuple(r) for r in ann.candidates(rows.where("vec_id < 30"), rows.withColumnRenamed("vec_id", "rep"), codes, radius, 24).collect()}
+    d = ann.hamming(codes.of(x[:30], True), codes.of(x, False))
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= radius))}
+
+
+def test_probing_and_blocks_agree(spark, monkeypatch):
+    x = clustered(800, 16, 3)
+    rows = [(i, (v * (1 + i % 3)).tolist(), "", 0) for i, v in enumerate(x)] + [(i, x[5].tolist(), "", 0) for i in range(900, 960)]
+    monkeypatch.setattr(ann, "ADMITS", 100.0)
+    probed = result(spark, rows)
+    monkeypatch.setattr(ann, "ADMITS", -1.0)
+    scanned, want = result(spark, rows), brute(rows)
+    for got in (probed, scanned):
+        assert got.keys() == want.keys() and [len(got[q]) for q in want] == [20] * len(want)
+        assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 0.9 * 20 * len(want)

@@ -10,8 +10,13 @@
    r // substrings bits, so probing each index at that distance retrieves every code within r; the rest is verified by
    its full distance and reranked by the inner product of the original vectors in double precision.
 
-Queries and candidates meet in blocks of bounded size; each block returns ``TOP`` neighbours a query.  A query that finds
-too few within the radius widens it until it has enough.
+The index is a table: a row for each substring of each representative, keyed by the substring's number and value.  Queries
+are rows for each value to probe, and both meet in one shuffle on that key.  Only queries that find fewer than they should
+are then compared with all rows, in blocks of bounded size.
+
+Probing pays only where it rules most rows out, which the calibrated radius tells beforehand: the share of values that a
+probe admits, summed over the substrings.  Where that is more than ``ADMITS``, the radius itself takes in a large part of
+the rows, and all queries go to the blocks, in which the same index is searched.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, and neither do rows without an id; an id with several vectors stands for the least of them (repeated rows are one);
@@ -22,6 +27,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,7 @@ PROBES = 200
 COVER = 0.97
 TABLES = 2
 BITS = 16
+ADMITS = 0.1  # share of all rows that probing may retrieve; above it, rows are compared in blocks
 CANDIDATES, QUERIES = 65_536, 8_192  # rows of a block at most, about
 LEAST_BLOCKS = 8
 _ONES = np.bitwise_count(np.arange(1 << BITS, dtype=np.uint32)).astype(np.uint8)
@@ -184,6 +192,63 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int
     codes = learn(x, longest)
     radius = _calibrate(spark, reps, codes, x[:PROBES], top, dim)
     queries = rows.where(F.col("vec_id") % every == 0)
+    if admitted(radius, codes.turns.shape[1]) > ADMITS:
+        return _ranked(_blocks(spark, queries, reps, codes, radius, n, dim, top), top)
+    near = materialize(spark, probe(queries, reps, codes, radius, dim, top))
+    # A query's own representative is among what it finds, and may be its only member: so one more than top.
+    full = near.groupBy("query_id").agg(F.sum("members").alias("found")).where(F.col("found") > top).select(F.col("query_id").alias("vec_id"))
+    few = materialize(spark, queries.join(full, "vec_id", "left_anti"))
+    done = near.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    own = done.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id").select("query_id", "vec_id", "score")
+    return _ranked(own.unionByName(_blocks(spark, few, reps, codes, radius, n, dim, top)), top)
+
+
+def admitted(radius: int, bits: int) -> float:
+    """Share of all rows that probing retrieves at most, were codes evenly spread."""
+    parts = -(-bits // BITS)
+    return parts * sum(comb(BITS, i) for i in range(radius // parts + 1)) / 2**BITS
+
+
+def _coded(frame: DataFrame, key: str, codes: Codes, query: bool, dim: int) -> DataFrame:
+    """(key, code): the substrings of each vector's code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = codes.of(_matrix(batch.column("v"), dim), query).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.ravel()))], [key, "code"])
+
+    return frame.select(key, "v").mapInArrow(run, f"{key} long, code array<int>")
+
+
+def candidates(queries: DataFrame, reps: DataFrame, codes: Codes, radius: int, dim: int) -> DataFrame:
+    """(query_id, rep): distinct pairs within the radius; reps: (rep, v)."""
+    parts = -(-codes.turns.shape[1] // BITS)
+    flips = [sum(1 << b for b in c) for n in range(radius // parts + 1) for c in combinations(range(BITS), n)]
+    index = _coded(reps, "rep", codes, False, dim).select("rep", F.posexplode("code").alias("part", "value"), "code")
+    asked = _coded(queries, "vec_id", codes, True, dim).select(F.col("vec_id").alias("query_id"), F.col("code").alias("own"), F.posexplode("code").alias("part", "x"))
+    asked = asked.withColumn("flip", F.explode(F.array(*map(F.lit, flips)))).select("query_id", "own", "part", F.col("x").bitwiseXOR(F.col("flip")).alias("value"))
+    met = asked.join(index, ["part", "value"])
+    distance = F.aggregate(F.zip_with("own", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    return met.where(distance <= radius).select("query_id", "rep").distinct()
+
+
+def probe(queries: DataFrame, reps: DataFrame, codes: Codes, radius: int, dim: int, top: int) -> DataFrame:
+    """(query_id, ids, members, score): the best representatives that probing finds for each query, ties included."""
+    named = reps.select(F.col("ids")[0].alias("rep"), "ids", "v")
+    pairs = candidates(queries, named, codes, radius, dim)
+    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    got = pairs.join(named, "rep").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "ids", F.size("ids").alias("members"), score.alias("score"))
+    best = got.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= top + 1)
+    return best.drop("r")
+
+
+def _ranked(found: DataFrame, top: int) -> DataFrame:
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _blocks(spark: SparkSession, queries: DataFrame, reps: DataFrame, codes: Codes, radius: int, n: int, dim: int, top: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of every block of representatives for each query."""
     n_c, n_q = max(LEAST_BLOCKS, -(-n // CANDIDATES)), max(1, -(-queries.count() // QUERIES))
     left = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
     right = reps.select("ids", "v", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(F.xxhash64("v"), F.lit(n_c)).cast("int").alias("cb"))
@@ -205,9 +270,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int
                 out_s += [-s for s, _ in got]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, "query_id long, vec_id long, score double")
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, "query_id long, vec_id long, score double")
 
 
 def _first(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
