@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,12 +185,13 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     shared = materialize(spark, every.join(twice, "h"))
     release(spark, every, twice)
     first = shared.where("d = m").groupBy("h").agg(F.min("d").alias("d0"), F.min(F.struct("k", "p", "g")).alias("f"))
-    first = first.select("h", "d0", F.col("f.k").alias("k0"), F.col("f.p").alias("p0"), F.col("f.g").alias("g0"))
+    # Written, so that the join deals out both sides anew and can split a hot fingerprint.
+    first = materialize(spark, first.select("h", "d0", F.col("f.k").alias("k0"), F.col("f.p").alias("p0"), F.col("f.g").alias("g0")))
     later = shared.join(first, "h").where("d <> d0 or k <> k0 or p <> p0")
     later = later.select("d", "k", "p", "n", (F.col("g") == F.col("g0")).alias("same"), "d0", "k0", "p0")
     later = later.withColumn("same", F.col("same") & (F.col("n") == 0)).repartition("d", "k").sortWithinPartitions("d", "k", "p", "n")
     runs = materialize(spark, later.mapInArrow(_chains(line), "d long, k long, i int, j int, d0 long, k0 long, z int"))
-    release(spark, shared)
+    release(spark, shared, first)
     grown = runs.where(F.col("z") != _EXACT)
     edges = grown.select("d", "k", "i", "j", "d0", "k0", F.explode(F.array((F.col("i") + F.col("z")).cast("long") * 2, (F.col("j") + F.col("z")).cast("long") * 2 + 1)).alias("edge"))
     asked = edges.select(F.col("d0").alias("d"), F.col("k0").alias("k"), "edge").distinct().groupBy("d", "k").agg(F.collect_list("edge").alias("edges"))
@@ -204,23 +204,34 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     return out
 
 
-def extend(words: np.ndarray, runs, min_words: int) -> np.ndarray:
-    """Which words go; words: 32-bit hashes of a text, 0 for none."""
-    gone = np.zeros(len(words), bool)
-    grown: dict[tuple[int, int], list[int]] = {}
-    for x in runs:
-        i, j = x["i"], x["j"]
-        if x["side"] == 2:
-            gone[i:j] = True
-            continue
-        c = np.frombuffer(x["c"], np.uint32)
-        own = words[max(0, i - len(c)) : i][::-1] if x["side"] == 0 else words[j : j + len(c)]
-        unlike = np.flatnonzero(own != c[: len(own)])
-        grown.setdefault((i, j), [0, 0])[x["side"]] = int(unlike[0]) if len(unlike) else len(own)
-    for (i, j), (left, right) in grown.items():
-        if j - i + left + right >= min_words:
-            gone[i - left : j + right] = True
-    return gone
+def extend(w: Words, runs: pa.ListArray, min_words: int) -> np.ndarray:
+    """Which words of all texts go, given the runs of each (null: none)."""
+    own = np.repeat(np.arange(len(runs)), np.asarray(runs.value_lengths().fill_null(0), np.int64))
+    flat = runs.flatten()
+    i, j, side = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "j", "side"))
+    lo, hi = w.starts[own], w.starts[own + 1]
+    i, j = i + lo, j + lo
+    cover = np.zeros(len(w.hash) + 1, np.int64)
+    whole = side == 2
+    np.add.at(cover, i[whole], 1)
+    np.add.at(cover, j[whole], -1)
+    grown = np.flatnonzero(~whole)
+    if len(grown):
+        grown = grown[np.lexsort((side[grown], i[grown]))]  # a word starts one run at most: its two edges stand together
+        i, j, side, lo, hi = (x[grown] for x in (i, j, side, lo, hi))
+        c = flat.field("c").take(pa.array(grown))
+        reach = len(c[0].as_py()) // 4
+        there = np.frombuffer(c.buffers()[2], np.uint32).reshape(-1, reach)[: len(grown)] if c.offset == 0 else np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, reach)
+        on = np.arange(reach)[None, :]
+        at = np.where(side[:, None] == 1, j[:, None] + on, i[:, None] - 1 - on)
+        out = (at < lo[:, None]) | (at >= hi[:, None])
+        here = np.append(w.hash.astype(np.uint32) | np.uint32(1), np.uint32(0))[np.where(out, -1, at)]
+        far = np.argmin(np.concatenate([(here == there) & ~out, np.zeros((len(grown), 1), bool)], axis=1), axis=1)
+        i, j = i[::2] - far[::2], j[::2] + far[1::2]
+        enough = j - i >= min_words
+        np.add.at(cover, i[enough], 1)
+        np.add.at(cover, j[enough], -1)
+    return np.cumsum(cover[:-1]) > 0
 
 
 def delete(raw: bytes, first: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
@@ -247,29 +258,30 @@ def delete(raw: bytes, first: np.ndarray, end: np.ndarray, gone: np.ndarray) ->
     return b"\n".join(out)
 
 
-def shorten(text: str, runs, min_words: int) -> tuple[str, int]:
-    """The text without its runs, and how many words went."""
-    column = pa.array([text], pa.string())
-    w = Words(column)
-    gone = extend(w.hash.astype(np.uint32) | np.uint32(1), runs, min_words)
-    if not gone.any():
-        return text, 0
-    return delete(w.raw.tobytes(), w.first, w.end, gone).decode("utf-8", "surrogatepass"), int(gone.sum())
+def _shorten(min_words: int):
+    def run(text: pa.Array, runs: pa.Array) -> pa.Array:
+        """The text without its runs, and how many words went; nulls where there are none."""
+        w = Words(text.fill_null(""))
+        gone = extend(w, runs, min_words)
+        n = np.bincount(w.text[gone], minlength=len(text))
+        out: list[bytes | None] = [None] * len(text)
+        for x in np.flatnonzero(n).tolist():
+            a, b = w.offsets[x], w.offsets[x + 1]
+            own = slice(w.starts[x], w.starts[x + 1])
+            out[x] = delete(w.raw[a:b].tobytes(), w.first[own] - a, w.end[own] - a, gone[own])
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int32))], ["text", "n_deleted"])
+
+    return run
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = None) -> DataFrame:
     """(row, text, n_deleted): every row of docs as a struct, its text without later repeated runs and, with min_line,
     without later equal lines of so many words, and how many words went."""
     runs = repeated_runs(spark, docs, min_words, min_line)
-
-    @F.pandas_udf("text string, n_deleted int")
-    def rewrite(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if r is None else shorten(t, r, min_words) for t, r in zip(text, runs)]
-        return pd.DataFrame(out, columns=["text", "n_deleted"])
-
+    rewrite = F.arrow_udf(_shorten(min_words), "text string, n_deleted int")
     got = keyed(docs).join(runs, ["d", "k"], "left")
     got = got.select("row", "text", rewrite(F.when(F.col("runs").isNotNull(), F.col("text")), "runs").alias("x"))  # other texts stay in the JVM
-    return got.select("row", F.when(F.col("x.n_deleted") > 0, F.col("x.text")).otherwise(F.col("text")).alias("text"), F.col("x.n_deleted").alias("n_deleted"))
+    return got.select("row", F.coalesce("x.text", "text").alias("text"), F.col("x.n_deleted").alias("n_deleted"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_line: int | None = MIN_LINE) -> DataFrame:
