@@ -27,18 +27,31 @@ def test_subset_sum_is_exact():
         assert sum(n * k for n, k in zip(lengths, got)) == best
 
 
+def shares(sizes):
+    """Of sources in their order, by bisection: the level at which what all take, at most three times their size, is all."""
+    weights = [float(i % 3 + 1) for i in range(len(sizes))]
+    lo, hi = 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if sum(min(3 * n, mid * w) for n, w in zip(sizes, weights)) < sum(sizes):
+            lo = mid
+        else:
+            hi = mid
+    return [min(3.0 * n, hi * w) for n, w in zip(sizes, weights)]
+
+
 def check(rows, got):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     totals = defaultdict(int)
     for _, t, s in rows:
         totals[s] += size(t)
     names = sorted(totals, key=lambda s: (s is None, s or ""))
-    want = dict(zip(names, mx.targets([totals[s] for s in names], [float(i % 3 + 1) for i in range(len(names))])))
+    want = dict(zip(names, shares([totals[s] for s in names])))
     assert sum(r["size"] for r in got) == sum(totals.values()) and len(got) == len(rows)
     taken = Counter()
     source = {i: s for i, _, s in rows}
     for r in got:
-        assert r.taken <= 3 * r["size"] and r.source_size == totals[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
+        assert r.taken <= 3 * r["size"] and r.source_size == totals[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6 * (1 + r.target)
         taken[source[r.doc_id]] += r.taken
     return {s: (abs(taken[s] - want[s]), want[s]) for s in names}
 
@@ -68,6 +81,35 @@ def test_documents_repeat_as_taken(spark, make):
     assert mx.mix(spark, make([])).count() == 0 and mx.mix_documents(spark, make([])).count() == 0
 
 
+def test_rows_that_differ_in_source_alone(spark, make):
+    rows = [(1, "a b c d", "p"), (1, "a b c d", "q"), (2, "e f " * 40, "r"), (2, "e f " * 40, None), (3, "g", "+"), (3, "g", "-"), (3, "g", "p")]
+    got = []
+    for some in (rows, rows[::-1]):
+        plan = {(r.doc_id, r.s): r.taken for r in mx.mix(spark, make(some)).collect()}
+        taken = Counter()
+        for r in mx.mix_documents(spark, make(some)).collect():
+            taken[r.doc_id, "-" if r.source is None else "+" + r.source] += len(r.text.split())
+        assert taken == +Counter(plan)
+        got.append(taken)
+    assert got[0] == got[1] and len(plan) == len(rows)
+
+
+def test_many_sources_settle_as_the_list_form(spark, make):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 50, 4000 if i % 97 == 0 else 7]), rng.choice([f"s{rng.randint(0, 60)}é", "", "\U0010ffff", "Z", None])) for i in range(900)]
+    got = {r.s: (r.source_size, r.target) for r in mx.mix(spark, make(rows)).collect()}
+    names = sorted(got)
+    want = mx.targets([got[s][0] for s in names], [float(i % 3 + 1) for i in range(len(names))])
+    assert names[-1] == "-" and all(abs(got[s][1] - w) < 1e-6 * (1 + w) for s, w in zip(names, want))
+
+
+def test_repeated_rows_share_what_is_taken(spark, make):
+    rows = [(5, "x y z", "p")] * 7 + [(6, "w " * 20, "q"), (None, "", "q")]
+    plan = mx.mix(spark, make(rows)).collect()
+    out = mx.mix_documents(spark, make(rows)).collect()
+    assert len([r for r in out if r.doc_id == 5]) == sum(r.times for r in plan if r.doc_id == 5)
+
+
 @pytest.mark.parametrize("target", [0, 1, 999, 5000, 123_456])
 def test_plans_hit_the_target(target):
     import numpy as np
