@@ -71,3 +71,61 @@ def test_no_pattern_is_cut_by_its_rank(spark, make):
     assert pii.train(spark, docs) == {"secret token:"}
     got = {r.doc_id: r for r in pii.find_in_documents(spark, docs).where("n_added > 0").collect()}
     assert set(got) == {5000 + i for i in range(5)} | {6000} and got[6000].spans == "id:17:29"
+
+
+def chained():
+    """Keys induce one pattern, what it finds induces another, and only that one finds the last identifier."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 90)))
+    badges = [f"AB-{1000 + i}-XY{i}" for i in range(8)]
+    rows = [f"{word()} {word()} secret token: {rng.randbytes(18).hex()} {word()}" for _ in range(60)]
+    rows += [f"{word()} secret token: {b} {word()}" for b in badges]
+    rows += [f"{word()} staff badge no. {b} {word()}" for b in badges for _ in range(5)]
+    rows += [f"{word()} staff badge no. ZQ-77-0815 {word()}", f"in the year {rng.randint(100000, 999999)} of the", "this year 123456 of that " * 9]
+    return list(enumerate(rows))
+
+
+def naive_patterns(rows):
+    """Confident patterns, by loops over all texts."""
+    words, seen, count, seeds = {}, {}, {}, set()
+    for _, text in rows:
+        own = naive(text)
+        for m in re.finditer(r"\S+", text):
+            bare = m[0].strip(pii._EDGES)
+            s = m.start() + m[0].index(bare) if bare else 0
+            before = re.sub(f"[{re.escape(pii._JUNK)}]", "", text[:s].lower()).replace('"', " ").split()
+            if len(bare) < pii.MIN_LENGTH or not re.search("[0-9]", bare) or len(before) < 2:
+                continue
+            p, x = " ".join(before[-2:]), bare.lower()
+            if any(a == s for a, _, _ in own) or pii._HEX.fullmatch(bare):
+                seeds.add(x)
+            seen.setdefault(p, {}).setdefault(x, 0)
+            seen[p][x] += 1
+        flat = re.sub(f"[{re.escape(pii._JUNK)}]", "", text.lower()).replace('"', " ").split()
+        for a, b in zip(flat, flat[1:-1]):
+            count[f"{a} {b}"] = count.get(f"{a} {b}", 0) + 1
+    good = {x: 1.0 for x in seeds}
+    for _ in range(20):
+        words = {p: sum(good.get(x, 0.0) * n for x, n in own.items()) / max(count.get(p, 0), sum(own.values())) for p, own in seen.items() if sum(good.get(x, 0.0) >= pii.CONFIDENCE for x in own) >= pii.MIN_SEEDS}
+        good = {x: max([float(x in seeds), *[s for p, s in words.items() if x in seen[p]]]) for own in seen.values() for x in own}
+    return {p for p, s in words.items() if s >= pii.CONFIDENCE}
+
+
+def test_found_instances_induce_new_patterns(spark, make):
+    rows = chained()
+    docs = make(rows)
+    want = naive_patterns(rows)
+    assert want == {"secret token:", "badge no."} and pii.train(spark, docs) == want
+    got = {r.doc_id: r for r in pii.find_in_documents(spark, docs).collect()}
+    last = [i for i, t in rows if "ZQ-77-0815" in t][0]
+    assert got[last].n_added == 1 and not any(pii._HEX.fullmatch(x) for x in ("ZQ-77-0815", "AB-1000-XY0"))
+    assert all(got[i].n_added == 0 for i, t in rows if "year" in t)
+
+
+def test_scores_as_brute_force(spark, make):
+    rng = random.Random(13)
+    ids = [f"{rng.choice('ABC')}{rng.randint(10000, 10030)}" for _ in range(40)]
+    key = [rng.randbytes(16).hex() for _ in range(12)]
+    rows = [(i, " ".join(f"{rng.choice('pqrs')} {rng.choice('uvw')} {rng.choice(key if rng.random() < 0.75 else [*ids, 'none'])}" for _ in range(6)) + " end") for i in range(60)]
+    rows += [(100 + i, f"k{i % 3} m {rng.choice(key)} x k{i % 3} m {rng.choice(ids)} y") for i in range(120)]
+    assert pii.train(spark, make(rows)) == naive_patterns(rows)

@@ -1,14 +1,17 @@
 """PII: base patterns, and bootstrapped contextual extraction.
 
 Seed entities are what the base patterns find, and long hexadecimal keys.  The two words before a mention are its lexical
-pattern.  Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of all places
-where it stands, over all documents, that hold good instances; an instance is as good as its best pattern, and a seed
-always counts as good.  What stands at a high-confidence pattern and looks like an identifier is added as kind ``id``.
-
-Every pattern with ``MIN_SEEDS`` seeds is scored, and every one of high confidence is applied: patterns stay a table that
-is joined, however many there are.  What the driver and the workers hold is a filter of 2 ** ``FILTER_BITS`` bits over
-the patterns' checksums; it only spares pairs of words that cannot be patterns the shuffle, and the joins are exact.
-Places are counted over all words of all documents.
+pattern.  Spark scores the graph of patterns and instances in rounds.  In each, the instances that are good so far induce
+patterns: those with ``MIN_SEEDS`` distinct good ones.  A pattern is as good as the share of all places where it stands,
+over all documents, that hold good instances; an instance is as good as its best pattern, and a seed always counts as good.
+So instances found in one round induce patterns in the next, until nothing changes or ``ROUNDS`` are over.  What stands at
+a high-confidence pattern and looks like an identifier (``MIN_LENGTH`` characters or more with a digit, bare of quotes and
+punctuation) is added as kind ``id``.
+
+Every pattern with enough instances, good or not, is scored, and every one of high confidence is applied: patterns stay a
+table that is joined, however many there are.  What the driver and the workers hold is a filter of 2 ** ``FILTER_BITS``
+bits over the patterns' checksums; it only spares pairs of words that cannot be patterns the shuffle, and the joins are
+exact.  Places are counted over all words of all documents.
 
 Spans are half-open in code points.  Base spans always stay; an added span that would overlap one is not added.  Defined
 cases: null and empty texts have no spans and the digest of nothing; rows that repeat get a row each; with too few seeds
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, materialize, small_batches, table, texts
+from .common import doc_key, materialize, release, small_batches, table, texts
 
 KINDS = ("email", "ip", "card", "phone", "id")
 FILTER_BITS = 22
 MIN_SEEDS = 5  # distinct seeds that induce a pattern
 CONFIDENCE = 0.8
-ROUNDS = 3
-CONTEXT = 80  # characters before a mention in which its two words must lie
+ROUNDS = 8
+MIN_LENGTH = 6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -100,20 +103,24 @@ def plain(text: str) -> str:
 
 
 def pattern_before(text: str, at: int) -> str | None:
-    """The two words before a mention."""
-    before = plain(text[max(0, at - CONTEXT) : at]).replace('"', " ").split()
-    return f"{before[-2]} {before[-1]}" if len(before) >= 2 else None
+    """The two words before a mention, however long."""
+    reach = 64
+    while True:
+        before = plain(text[max(0, at - reach) : at]).replace('"', " ").split()
+        if len(before) > 2 or reach >= at:  # the first word may be cut unless the text starts there
+            return f"{before[-2]} {before[-1]}" if len(before) >= 2 else None
+        reach *= 4
 
 
 def mentions(text: str) -> list[tuple[int, int]]:
-    """Where something that may be an identifier stands: 8 or more characters with a digit, bare of edges."""
+    """Where something that may be an identifier stands."""
     out = []
     if _DIGIT.search(text):
         for m in _MENTION.finditer(text):
             word = m[0]
             s = m.start() + len(word) - len(word.lstrip(_EDGES))
             e = m.start() + len(word.rstrip(_EDGES))
-            if e - s >= 8:
+            if e - s >= MIN_LENGTH:
                 out.append((s, e))
     return out
 
@@ -182,21 +189,31 @@ def confident(spark: SparkSession, docs: DataFrame) -> DataFrame:
     small_batches(spark)
     graph = docs.select("text").mapInArrow(_graph, "p string, x string, seed int, n long")
     graph = materialize(spark, graph.groupBy("p", "x").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
-    known = materialize(spark, graph.groupBy("p").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("p"))
+    known = materialize(spark, graph.groupBy("p").agg(F.count("*").alias("own")).where(F.col("own") >= MIN_SEEDS).select("p"))
     bits = pattern_filter(known)
     if not bits:
         return known
     places = docs.select("text").mapInArrow(_places(spark.sparkContext.broadcast(bits)), "p string, places long").groupBy("p").agg(F.sum("places").alias("places"))
-    places = materialize(spark, known.join(places, "p", "left"))
-    edges = materialize(spark, graph.join(places, "p"))
+    places = known.join(places, "p", "left")
     # A noted mention may end the text or be cut off from its words, so places can be fewer than mentions.
-    whole = materialize(spark, edges.groupBy("p").agg(F.greatest(F.max("places"), F.sum("n")).alias("places")))
-    score = edges.withColumn("c", F.col("seed").cast("double"))
+    own = graph.groupBy("p").agg(F.sum("n").alias("own"))
+    places = materialize(spark, places.join(own, "p").select("p", F.greatest("places", "own").alias("places")))
+    edges = materialize(spark, graph.join(places, "p"))
+    release(spark, graph, known)
+    score, patterns, before = edges.withColumn("c", F.col("seed").cast("double")), None, None
     for _ in range(ROUNDS):
-        patterns = score.groupBy("p").agg((F.sum(F.col("c") * F.col("n"))).alias("good")).join(whole, "p").select("p", (F.col("good") / F.col("places")).alias("score"))
-        patterns = materialize(spark, patterns)
-        instance = edges.join(patterns, "p").groupBy("x").agg(F.greatest(F.max("score"), F.max("seed").cast("double")).alias("c"))
-        score = materialize(spark, edges.join(instance, "x"))
+        strong = F.sum((F.col("c") >= CONFIDENCE).cast("long"))
+        sums = score.groupBy("p").agg(F.sum(F.col("c") * F.col("n")).alias("good"), strong.alias("strong")).where(F.col("strong") >= MIN_SEEDS)
+        last, patterns = patterns, materialize(spark, sums.join(places, "p").select("p", (F.col("good") / F.col("places")).alias("score")))
+        best = edges.join(patterns, "p").groupBy("x").agg(F.max("score").alias("best"))
+        if last is not None:
+            release(spark, last, score)
+        score = materialize(spark, edges.join(best, "x", "left").select("p", "x", "seed", "n", F.greatest(F.col("seed").cast("double"), F.coalesce("best", F.lit(0.0))).alias("c")))
+        now = patterns.agg(F.count("*"), F.sum(F.round("score", 6).cast("decimal(20,6)"))).first()
+        if now == before:
+            break
+        before = now
+    release(spark, edges, places, score)
     return patterns.where(F.col("score") >= CONFIDENCE).select("p")
 
 

@@ -180,8 +180,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             flat = [[v for row in rows for v in row] for rows in got]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(flat, pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(lines, "doc_id long, quality int, x array<float>")
-    got = materialize(spark, rows).orderBy("doc_id").limit(2 * sample).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one an id
+    rows = rows.mapInArrow(lines, "doc_id long, quality int, x array<float>")
+    got = materialize(spark, rows).orderBy("doc_id").toPandas()  # sample rows at most
     chains = []
     for x, q in zip(got["x"], got["quality"]):
         x = np.asarray(x, float).reshape(-1, len(FEATURES))

@@ -105,8 +105,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = prints.select(F.col("f"), *[F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "k"])
     first = own.groupBy("f").agg(F.min(F.struct("d", "k")).alias("m")).join(roots, "f")
     kept = materialize(spark, first.groupBy("root").agg(F.min("m").alias("m")).select("m.d", "m.k"))
-    once = Window.partitionBy("d", "k").orderBy(F.lit(0))  # rows that repeat
-    got = keyed(docs).drop("text").join(kept, ["d", "k"]).withColumn("n", F.row_number().over(once)).where("n = 1")
+    got = keyed(docs).drop("text").join(kept, ["d", "k"]).dropDuplicates(["d", "k"])  # rows that repeat, combined before the shuffle
     return got.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

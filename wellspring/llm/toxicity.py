@@ -6,12 +6,14 @@ probabilities that an earlier one has fitted to the very row.  The last category
 column; a document is rejected if its probability reaches the threshold, which is calibrated on out-of-fold predictions so
 that clean rows stay below it: the fewer the labels, the more careful it gets.
 
-Training is bounded: ``SAMPLE`` labelled documents at most, chosen by a hash of their id, and ``TERMS`` words.  The table
-``labels`` names no categories but toxic, so the earlier ones are weak: a toxic row belongs to a category if it has one
-of its ``SEEDS``.  Seeds only label training rows; the models read all terms, chosen by their log-odds.
+Training is bounded: ``SAMPLE`` labelled documents at most, chosen by a hash of their id.  The terms are all words and word
+beginnings that tell the two labels apart by more than chance allows; terms that the very same rows hold are one column.
+The table ``labels`` names no categories but toxic, so the earlier ones are found in it: the toxic rows of the sample are
+clustered by their terms, and each of the ``CLUSTERS`` kinds of toxic text is a category.
 
 Defined cases: null and empty texts have no words and the score of the intercepts; without labelled rows of both kinds
-nothing is rejected (all probabilities 0); repeated rows score alike; extra columns do not matter.
+nothing is rejected (all probabilities 0); of rows that repeat an id the one with the least text trains; repeated rows
+score alike; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,21 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts
+from .common import materialize, release, small_batches, table, texts
 
 SAMPLE = 10_000  # labelled documents that training takes at most
-TERMS = 256
 FOLDS = 4
 CLEAN = 0.999  # share of clean training rows whose out-of-fold probability must lie below the threshold
 LOWEST, HIGHEST = 0.2, 0.9  # bounds of the threshold
 MIN_SUPPORT = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("trash", "scum", "worthless"),
-    "disgust": ("pathetic", "disgusting"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+CLUSTERS = 3
+CATEGORIES = (*[f"kind{i + 1}" for i in range(CLUSTERS)], "toxic")
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -74,14 +71,14 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """terms: column of each word; weights: one vector a category, in the order of the chain."""
+    """terms: column of each term; weights: one vector a category, in the order of the chain."""
 
     terms: dict[str, int]
     weights: list[np.ndarray]
     threshold: float = 0.5
 
     def features(self, found: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(found), len(self.terms)))
+        x = np.zeros((len(found), max(self.terms.values(), default=-1) + 1))
         for i, own in enumerate(found):
             x[i, own] = 1
         return x
@@ -99,6 +96,36 @@ class Chain:
         return out
 
 
+def merge_columns(terms: list[str], x: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """(column of each term, columns): terms that the same rows hold share a column."""
+    columns: dict[bytes, int] = {}
+    where = {t: columns.setdefault(np.packbits(x[:, i] > 0).tobytes(), len(columns)) for i, t in enumerate(terms)}
+    out = np.zeros((len(x), len(columns)))
+    for i, t in enumerate(terms):
+        out[:, where[t]] = x[:, i]
+    return where, out
+
+
+def clusters(x: np.ndarray, k: int = CLUSTERS, steps: int = 30) -> np.ndarray:
+    """Cluster of each row by spherical k-means; rare columns count more.  It starts from rows as far apart as can be."""
+    x = x * np.log(1 + len(x) / (1 + x.sum(0)))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    centres = x[[int(np.argmax(norm))]] if len(x) else x[:0]
+    while 0 < len(centres) < k:
+        centres = np.vstack([centres, x[[int(np.argmin((x @ centres.T).max(1)))]]])
+    own = np.zeros(len(x), int)
+    for _ in range(steps if len(x) else 0):
+        new = np.argmax(x @ centres.T, axis=1)
+        sums = np.vstack([x[new == c].sum(0) for c in range(k)])
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+        if (new == own).all():
+            break
+        own = new
+    return own
+
+
 def fit_chain(terms: dict[str, int], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
     """x: words of each row; y: a column for each category; fold: of each row."""
     weights = []
@@ -128,32 +155,33 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     small_batches(spark)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a top-k: bounded on every executor
-    rows = materialize(spark, docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = materialize(spark, rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # sample rows at most
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(0) or not total.get(1):
         return Chain({}, [])
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = materialize(spark, counts.where(F.col("n0") + F.col("n1") >= MIN_SUPPORT))
-    odds = F.log((F.col("n1") + 0.5) / (total[1] + 1)) - F.log((F.col("n0") + 0.5) / (total[0] + 1))
-    weight = F.abs(odds) * F.sqrt(F.col("n0") + F.col("n1"))
     # Likelihood ratio against the base rate; of so many words, hardly one passes by chance.
     n, rate = F.col("n0") + F.col("n1"), total[1] / (total[0] + total[1])
     ratio = 2 * sum((F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * r))).otherwise(0.0) for c, r in (("n1", rate), ("n0", 1 - rate))), F.lit(0.0))
-    seeds = [s for group in SEEDS.values() for s in group]
-    best = counts.where(ratio >= 2 * np.log(max(2, counts.count())) + 4).orderBy(F.col("w").isin(seeds).desc(), weight.desc(), "w").limit(TERMS)
-    terms = {r["w"]: i for i, r in enumerate(best.select("w").collect())}
+    telling = counts.where(ratio >= 2 * np.log(max(2, counts.count())) + 4).select("w").orderBy("w")
+    names = [r["w"] for r in telling.collect()]  # the sample bounds them
+    terms = {w: i for i, w in enumerate(names)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[terms[w] for w in words(t) & terms.keys()] for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "x"])
 
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, x array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).orderBy("doc_id").limit(2 * sample).collect()
-    chain = Chain(terms, [])
-    x = chain.features([r["x"] for r in got])
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, x array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).orderBy("doc_id").collect()
+    release(spark, rows, counts)
+    where, x = merge_columns(names, Chain(terms, []).features([r["x"] for r in got]))
     toxic = np.array([r["toxic"] for r in got], float)
-    y = [toxic * (x[:, [terms[s] for s in group if s in terms]].sum(1) > 0) for group in SEEDS.values()]
-    return fit_chain(terms, x, np.column_stack([*y, toxic]), np.array([r["fold"] for r in got]))
+    y = np.zeros((len(x), len(CATEGORIES)))
+    y[:, -1] = toxic
+    y[np.flatnonzero(toxic), clusters(x[toxic > 0])] = 1
+    return fit_chain(where, x, y, np.array([r["fold"] for r in got]))
 
 
 def scorer(spark: SparkSession, chain: Chain):
