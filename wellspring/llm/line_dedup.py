@@ -38,7 +38,7 @@ from .wordstream import Words, mix, span_hash
 MIN_WORDS = 25
 MIN_LINE = 4  # words of a whole line that is deleted by itself
 LINE = 8  # words of a logical line
-_WHOLE = np.uint64(0xD6E8FEB86659FD93)  # keeps hashes of whole lines apart from those of logical ones
+_LINE, _TEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)  # keep hashes of lines and of texts apart
 _EXACT = np.iinfo(np.int32).min
 
 
@@ -82,7 +82,7 @@ def _rows(batch: pa.RecordBatch, own: np.ndarray, **columns: np.ndarray) -> pa.R
 
 def _positions(min_words: int, min_line: int | None):
     """Of each text: its fingerprints (n = 0, g: hash of the words up to the end of the next one, 0 for none), its whole
-    lines and the text as a whole (n: words)."""
+    lines (n: words) and the text as a whole (the same with p = -1)."""
     line = grain(min_words)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +96,17 @@ def _positions(min_words: int, min_line: int | None):
             first, end = w.lines() if min_line is not None else (at[:0], at[:0])
             long = end - first >= (min_line or 1)
             full = np.flatnonzero(w.sizes >= min_words)
+            lines = int(long.sum())
             first, end = np.concatenate([first[long], w.starts[full]]), np.concatenate([end[long], w.starts[full + 1]])
-            whole = mix(span_hash(w.hash, first, end) ^ _WHOLE)
+            whole = mix(span_hash(w.hash, first, end) ^ np.repeat([_LINE, _TEXT], [lines, len(full)]))
             own = np.concatenate([own, w.text[first]])
+            p = np.concatenate([at, first]) - w.starts[own]
+            p[len(at) + lines :] = -1
             yield _rows(
                 batch,
                 own,
                 h=np.concatenate([h, whole]).view(np.int64),
-                p=(np.concatenate([at, first]) - w.starts[own]).astype(np.int32),
+                p=p.astype(np.int32),
                 n=np.concatenate([np.zeros(len(at), np.int32), (end - first).astype(np.int32)]),
                 g=np.concatenate([g, np.zeros(len(first), np.int64)]).astype(np.int32),
             )
@@ -117,10 +120,13 @@ def _chains(line: int):
 
     def link(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         doc = (np.diff(x["d"], prepend=x["d"][:1]) != 0) | (np.diff(x["k"], prepend=x["k"][:1]) != 0)
-        again = ~doc & (np.diff(x["p"], prepend=-1) == 0) & (np.diff(x["n"], prepend=-1) == 0)
-        x = {c: v[~again] for c, v in x.items()}  # repeated rows
+        again = ~doc & (np.diff(x["p"], prepend=-2) == 0) & (np.diff(x["n"], prepend=-1) == 0)
+        copied = (x["p"] == -1)[np.maximum.accumulate(np.where(doc, np.arange(len(doc)), 0))]  # a text that is a whole copy
+        drop = again | copied & (x["p"] != -1)
+        x = {c: v[~drop] for c, v in x.items()}
         whole = x["n"] > 0
-        out = [(x["d"][whole], x["k"][whole], x["p"][whole], x["p"][whole] + x["n"][whole], x["d0"][whole], x["k0"][whole], np.full(whole.sum(), _EXACT))]
+        at = np.maximum(x["p"][whole], 0)
+        out = [(x["d"][whole], x["k"][whole], at, at + x["n"][whole], x["d0"][whole], x["k0"][whole], np.full(whole.sum(), _EXACT))]
         x = {c: v[~whole] for c, v in x.items()}
         if len(x["p"]):
             z = x["p0"] - x["p"]
@@ -195,9 +201,9 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     grown = runs.where(F.col("z") != _EXACT)
     edges = grown.select("d", "k", "i", "j", "d0", "k0", F.explode(F.array((F.col("i") + F.col("z")).cast("long") * 2, (F.col("j") + F.col("z")).cast("long") * 2 + 1)).alias("edge"))
     asked = edges.select(F.col("d0").alias("d"), F.col("k0").alias("k"), "edge").distinct().groupBy("d", "k").agg(F.collect_list("edge").alias("edges"))
-    around = materialize(spark, source.join(asked, ["d", "k"]).mapInArrow(_around(window - 1), "d0 long, k0 long, edge long, c binary"))
-    once = around.dropDuplicates(["d0", "k0", "edge"])  # rows that repeat
-    known = edges.join(once, ["d0", "k0", "edge"]).select("d", "k", "i", "j", (F.col("edge") % 2).cast("int").alias("side"), "c")
+    around = source.join(asked, ["d", "k"]).mapInArrow(_around(window - 1), "d0 long, k0 long, edge long, c binary")
+    around = materialize(spark, around.dropDuplicates(["d0", "k0", "edge"]))  # rows that repeat
+    known = edges.join(around, ["d0", "k0", "edge"]).select("d", "k", "i", "j", (F.col("edge") % 2).cast("int").alias("side"), "c")
     exact = runs.where(F.col("z") == _EXACT).select("d", "k", "i", "j", F.lit(2).alias("side"), F.lit(None).cast("binary").alias("c"))
     out = materialize(spark, known.union(exact).groupBy("d", "k").agg(F.collect_list(F.struct("i", "j", "side", "c")).alias("runs")))
     release(spark, runs, around)
