@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, texts
 
-CACHED_CHUNKS = 300_000  # in each of two generations, a bound on memory only: of the older one, what is used again stays
-CACHED_PAIRS = 500_000
+CACHED_CHUNKS = 60_000  # in each of two generations, a bound on memory only: of the older one, what is used again stays
+CACHED_PAIRS = 100_000
 ROUNDS = 4
-ROWS = 2048  # of a batch: each distinct chunk of a batch is looked up once
+ROWS = 1024  # of a batch: each distinct chunk of a batch is looked up once
 _END = "\n"  # stands for the suffix in the automaton; no letter of a word
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
 _BLANKS = regex.compile(r"[\p{White_Space}--[\t-\r ]]+", regex.V1)
@@ -362,6 +362,7 @@ def _digests(path: str | None):
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(names.encode("utf-8", "surrogatepass")).hexdigest())
+            pa.default_memory_pool().release_unused()  # workers stay alive between tasks
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
